@@ -1,0 +1 @@
+"""Empty on purpose: none of the covered workloads has a streaming query."""
