@@ -103,25 +103,36 @@ def invert_predictions(df: DataFrame, pred: str = "y_pred_binary", score: str |
     return df.withColumns(changed)
 
 
+# Physical range of the variables that have one: (lowest, highest).
+VARIABLE_RANGES = {"precipitation": (0.0, None), "cloudiness": (0.0, 10.0), RAIN: (0.0, 1.0)}
+
+
+def _clip(value: Column, low: Column, high: Column) -> Column:
+    # greatest and least skip nulls, so an absent bound does not bind
+    return F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
+
+
+def _bound(value: float | None) -> Column:
+    return F.lit(value).cast("double")
+
+
 def clip_variable(variable: str, value: Column) -> Column:
-    """Physical range of one weather variable; null stays null."""
-    if variable == "precipitation":
-        clipped = F.greatest(value, F.lit(0.0))
-    elif variable == "cloudiness":
-        clipped = F.least(F.greatest(value, F.lit(0.0)), F.lit(10.0))
-    elif variable == RAIN:
-        clipped = F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
-    else:
+    """Clip to the physical range of one weather variable; null stays null."""
+    if variable not in VARIABLE_RANGES:
         return value
-    return F.when(value.isNotNull(), clipped)
+    low, high = VARIABLE_RANGES[variable]
+    return _clip(value, _bound(low), _bound(high))
+
+
+def range_by_name(variable: Column) -> tuple[Column, Column]:
+    low = F.when(variable.isin(*VARIABLE_RANGES), F.lit(0.0))
+    high = F.when(variable == "cloudiness", F.lit(10.0)).when(variable == RAIN, F.lit(1.0))
+    return low, high
 
 
 def clip_by_name(variable: Column, value: Column) -> Column:
     """:func:`clip_variable` for a long table that names the variable in a column."""
-    expr = value
-    for name in ("precipitation", "cloudiness", RAIN):
-        expr = F.when(variable == name, clip_variable(name, value)).otherwise(expr)
-    return expr
+    return _clip(value, *range_by_name(variable))
 
 
 def sanitize_score(score: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldseries.functions.rules import clip_by_name, sanitize_score, threshold_objective
+from fieldseries.functions.rules import clip_by_name, range_by_name, sanitize_score, threshold_objective
 from fieldseries.operators.metrics import f1_of, precision_of, recall_of
 from fieldseries.operators.ranked import quantiles_of_cells, ranked_cells, ungroup, value_cells
 from fieldseries.schema import MAX_SCORE_CANDIDATES, MIN_PRECISION, RAIN
@@ -150,16 +150,26 @@ def search_blend_weight(
     are left out and counted.
     """
     by = list(by)
-    y, m, b = F.col(truth).cast("double"), F.col(model).cast("double"), F.col(baseline).cast("double")
-    complete = y.isNotNull() & m.isNotNull() & b.isNotNull()
+    low, high = range_by_name(F.col(variable))
+    known = df.select(
+        *by,
+        F.col(truth).cast("double").alias("_y"),
+        F.col(model).cast("double").alias("_m"),
+        F.col(baseline).cast("double").alias("_b"),
+        low.alias("_low"),
+        high.alias("_high"),
+        F.when(F.col(variable) == RAIN, 2.0).otherwise(1.0).alias("_power"),
+    )
+    complete = F.col("_y").isNotNull() & F.col("_m").isNotNull() & F.col("_b").isNotNull()
     weights = [i * (1.0 / (BLEND_STEPS - 1)) for i in range(BLEND_STEPS - 1)] + [1.0]
 
     def loss(w: float) -> Column:
-        error = clip_by_name(F.col(variable), F.lit(w) * m + F.lit(1.0 - w) * b) - y
-        return F.when(complete, F.when(F.col(variable) == RAIN, error * error).otherwise(F.abs(error)))
+        mixed = F.lit(w) * F.col("_m") + F.lit(1.0 - w) * F.col("_b")
+        clipped = F.least(F.greatest(mixed, F.col("_low")), F.col("_high"))
+        return F.pow(F.abs(clipped - F.col("_y")), F.col("_power"))
 
-    sums = df.groupBy(*by).agg(
-        *[F.avg(loss(w)).alias(f"loss_{i}") for i, w in enumerate(weights)],
+    sums = known.groupBy(*by).agg(
+        *[F.avg(F.when(complete, loss(w))).alias(f"loss_{i}") for i, w in enumerate(weights)],
         F.count(F.when(complete, 1)).alias("n_pairs"),
         F.count(F.when(~complete, 1)).alias("n_skipped"),
     )
