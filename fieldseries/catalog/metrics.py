@@ -330,6 +330,11 @@ def sql_rain_threshold(source: str, by: str) -> str:
         qualify row_number() over (partition by {by} order by f1 desc, precision desc, recall desc, threshold) = 1)"""
 
 
+def _unrounded(sql: str) -> str:
+    """For metrics that are averaged again."""
+    return sql.replace(", 6) as", ", 14) as")
+
+
 WEATHER_SQL = f"""{BLEND_SQL},
   mixed as (select h.*, blend_weight, blend_weight * y_model + (1 - blend_weight) * y_baseline as mix
     from heads h join weights using (lead, variable) where split in ('validation', 'test')),
@@ -343,11 +348,11 @@ WEATHER_SQL = f"""{BLEND_SQL},
           case when b.y_pred >= r.threshold then 1 else 0 end as y_pred
         from blended b join rain_best r using (lead) where variable = 'is_rain' and split = 'test' and b.y_pred is not null),
   counts as (select lead, {SQL_COUNTS} from s group by lead){sql_curve('lead')},
-  auc as ({sql_auc('lead')}),
-  rain_metrics as (select lead, 'is_rain' as variable, 'classification' as metric_family, {SQL_BINARY} from counts),
+  auc as ({_unrounded(sql_auc('lead'))}),
+  rain_metrics as (select lead, 'is_rain' as variable, 'classification' as metric_family, {_unrounded(SQL_BINARY)} from counts),
   rain_other as (select lead, avg((y_score - y_true) * (y_score - y_true)) as brier, max(threshold) as threshold,
       max(blend_weight) as blend_weight from s group by lead),
-  reg_metrics as (select lead, variable, 'regression' as metric_family, {sql_regression('y_true', 'y_pred')},
+  reg_metrics as (select lead, variable, 'regression' as metric_family, {_unrounded(sql_regression('y_true', 'y_pred'))},
       max(blend_weight) as blend_weight from blended where variable <> 'is_rain' and split = 'test' group by lead, variable),
   metrics as (
     select lead, variable, metric_family, mae, rmse, smape, r2, null::double as accuracy, null::double as f1,

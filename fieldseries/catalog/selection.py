@@ -50,14 +50,15 @@ def sql_threshold(source: str, by: str, prefix: str = "t") -> str:
   {prefix}_size as (select {by}, count(distinct round_even(y_score * 1e10, 0)) as k, count(*) as n from {source} group by {by}),
   {prefix}_at as (select {by}, n, i, (case when i = 399 then 1e0 else i * (1e0 / 399) end) * (n - 1) as pos
       from {prefix}_size, range(400) r(i) where k > 400),
+  {prefix}_lo as materialized (select a.{by}, a.n, a.pos, y_score as lo from {prefix}_at a
+      join {prefix}_rank r on r.{by} = a.{by} and r.k = cast(floor(a.pos) as bigint)),
+  {prefix}_hi as materialized (select a.{by}, a.pos, a.lo, y_score as hi from {prefix}_lo a
+      join {prefix}_rank r on r.{by} = a.{by} and r.k = cast(least(floor(a.pos) + 1, a.n - 1) as bigint)),
   {prefix}_cand as (select distinct {by}, c from (
       select {by}, 0.5e0 as c from {prefix}_size
       union all select {by}, round_even(y_score * 1e10, 0) / 1e10 from {source} join {prefix}_size z using ({by}) where z.k <= 400
-      union all select a.{by}, case when pos - floor(pos) >= 0.5
-            then hi.y_score - (hi.y_score - lo.y_score) * (1 - (pos - floor(pos)))
-            else lo.y_score + (hi.y_score - lo.y_score) * (pos - floor(pos)) end
-        from {prefix}_at a join {prefix}_rank lo on lo.{by} = a.{by} and lo.k = floor(pos)
-          join {prefix}_rank hi on hi.{by} = a.{by} and hi.k = least(floor(pos) + 1, a.n - 1))),
+      union all select {by}, case when pos - floor(pos) >= 0.5 then hi - (hi - lo) * (1 - (pos - floor(pos)))
+            else lo + (hi - lo) * (pos - floor(pos)) end from {prefix}_hi)),
   {prefix}_m as (select c.{by}, c.c as threshold, sum(case when s.y_score >= c.c and s.y_true = 1 then 1 else 0 end) as tp,
       sum(case when s.y_score >= c.c and s.y_true = 0 then 1 else 0 end) as fp,
       sum(case when s.y_score < c.c and s.y_true = 1 then 1 else 0 end) as fn

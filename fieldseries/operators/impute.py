@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldseries.functions.cleaning import finite
+from fieldseries.operators.lookup import small_rows
 from fieldseries.operators.ranked import column_medians
 from fieldseries.operators.split import TRAIN
 from fieldseries.operators.windows import add_columns, forward_fill
@@ -38,19 +39,17 @@ def fit_medians(df: DataFrame, columns: Iterable[str], approximate: bool = False
 def apply_medians(df: DataFrame, medians: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Fill with the fitted medians, 0.0 where none exists.
 
-    The medians are one map with one entry per column, read as a scalar
-    subquery: no join, no shuffle of the rows.
+    The medians are one number per column, read once into the plan.
     """
-    names = [c for c in columns if c in df.columns]
-    fills = medians.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "median")))).scalar()
-    filled = df.withColumn("_fills", fills)
+    fills = {r["column_name"]: r["median"] for r in small_rows(medians)}
     return add_columns(
-        filled,
+        df,
         {
-            c: F.coalesce(F.col(c).cast("double"), F.try_element_at("_fills", F.lit(c)), F.lit(0.0))
-            for c in names
+            c: F.coalesce(F.col(c).cast("double"), F.lit(float(fills.get(c, 0.0))))
+            for c in columns
+            if c in df.columns
         },
-    ).drop("_fills")
+    )
 
 
 def impute_panel(

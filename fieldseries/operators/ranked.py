@@ -4,11 +4,12 @@ ROC, average precision, exact medians and quantiles and threshold searches all
 need "how much weight lies below this value". A window without partition
 columns would send every distinct value to one task. Here:
 
-1. equal values are added up first (map-side combine), so ties never travel;
-2. the value axis is cut into buckets of about equal numbers of distinct
-   values. The cuts are sampled by the hash of the value: the same cuts on
-   every recomputation, also after a lost executor, unlike those of a sketch or
-   a reservoir sample;
+1. equal values are added up first (map-side combine), so ties never travel,
+   and the cells are written once: everything below reads them, not the rows;
+2. few cells (the count is checked) take one window per group. Otherwise the
+   value axis is cut into buckets of about equal numbers of distinct values.
+   The cuts are sampled by the hash of the value: the same cuts on every
+   recomputation, also after a lost executor, unlike those of a sketch;
 3. running sums are taken inside each ``(group, bucket)``, and the sums of the
    buckets before it, at most ``max_buckets`` rows per group, are joined on.
 
@@ -23,6 +24,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldseries.operators.materialize import materialize
+
 CELLS_PER_BUCKET = 200_000
 MAX_BUCKETS = 4096
 # Binary search steps: enough for the cuts of MAX_BUCKETS with a wide margin.
@@ -89,10 +92,18 @@ def ranked_cells(
     cells_per_bucket: int | None = None,
     max_buckets: int | None = None,
 ) -> DataFrame:
-    """Add ``{s}_before`` (weight of smaller values) and ``{s}_total`` per group."""
+    """Add ``{s}_before`` (weight of smaller values) and ``{s}_total`` per group.
+
+    ``cells`` has one row per ``(_g, _v)``; its other columns are kept.
+    """
     sums = list(sums)
+    per_bucket = cells_per_bucket or CELLS_PER_BUCKET
+    cells = materialize(cells)
+    if cells.count() <= per_bucket:
+        return _ranked_in_one_window(cells, sums)
+
     # A subquery may not stand inside a lambda, so the cuts become a column first.
-    cuts = bucket_cuts(cells, cells_per_bucket or CELLS_PER_BUCKET, max_buckets or MAX_BUCKETS)
+    cuts = bucket_cuts(cells, per_bucket, max_buckets or MAX_BUCKETS)
     bucket = F.coalesce(bisect_right(F.col("_cuts"), F.col("_v")), F.lit(0))
     placed = cells.withColumn("_cuts", cuts.scalar()).withColumn("_b", bucket).drop("_cuts")
 
@@ -110,14 +121,22 @@ def ranked_cells(
     )
     joined = local.join(offsets, ["_g", "_b"])
     return joined.select(
-        "_g",
-        "_v",
-        *sums,
+        *cells.columns,
         *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"{s}_before") for s in sums],
         *[f"{s}_total" for s in sums],
     )
 
 
+def _ranked_in_one_window(cells: DataFrame, sums: list[str]) -> DataFrame:
+    earlier = Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy("_g")
+    return cells.select(
+        "*",
+        *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_before") for s in sums],
+        *[F.sum(s).over(group).alias(f"{s}_total") for s in sums],
+    )
+
+
 def ungroup(df: DataFrame, by: Iterable[str], *columns: str | Column) -> DataFrame:
     """Replace the packed key by the grouping columns."""
     return df.select(*[F.col(f"_g.{b}").alias(b) for b in by], *columns)

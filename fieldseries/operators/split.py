@@ -1,7 +1,8 @@
 """Chronological splits by whole periods (years).
 
-A split is two cut values, so tagging rows is a comparison with a one-row
-scalar subquery: the panel is neither joined nor shuffled for it.
+A split is two cut values. They are read once, and tagging a row is a
+comparison with two constants: the panel is neither joined nor shuffled for it,
+and a filter on one split is a filter on the period.
 """
 
 from __future__ import annotations
@@ -52,17 +53,18 @@ def split_cuts(
     )
 
 
-def split_of(period: Column, cuts: Column) -> Column:
+def split_of(period: Column, validation_from: int, test_from: int) -> Column:
     return (
-        F.when(period >= cuts.getField("test_from"), F.lit(TEST))
-        .when(period >= cuts.getField("validation_from"), F.lit(VALIDATION))
+        F.when(period >= test_from, F.lit(TEST))
+        .when(period >= validation_from, F.lit(VALIDATION))
         .otherwise(F.lit(TRAIN))
     )
 
 
 def with_split(df: DataFrame, cuts: DataFrame, by: str = "year", output: str = "split") -> DataFrame:
-    """Tag every row with its split."""
-    return df.withColumn(output, split_of(F.col(by), cuts.select(F.struct("*")).scalar()))
+    """Tag every row with its split; ``cuts`` comes from :func:`split_cuts`."""
+    row = cuts.collect()[0]
+    return df.withColumn(output, split_of(F.col(by), row["validation_from"], row["test_from"]))
 
 
 def split_table(df: DataFrame, cuts: DataFrame, by: str = "year") -> DataFrame:

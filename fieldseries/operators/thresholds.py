@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldseries.functions.rules import clip_by_name, range_by_name, sanitize_score, threshold_objective
+from fieldseries.operators.materialize import materialize
 from fieldseries.operators.metrics import f1_of, precision_of, recall_of
 from fieldseries.operators.ranked import quantiles_of_cells, ranked_cells, ungroup, value_cells
 from fieldseries.schema import MAX_SCORE_CANDIDATES, MIN_PRECISION, RAIN
@@ -31,15 +32,14 @@ def _score_cells(df: DataFrame, truth: str, score: str, by: list[str]) -> DataFr
 def _metrics_at(cells: DataFrame, candidates: DataFrame, **bucketing: int) -> DataFrame:
     """tp-based metrics of ``score >= _v`` for each row ``(_g, _v)`` of ``candidates``."""
     zero = F.lit(0).cast("long")
+    marked = candidates.select("_g", "_v", zero.alias("pos"), zero.alias("n"), F.lit(True).alias("cand"))
     axis = (
-        cells.select("_g", "_v", "pos", "n", zero.alias("cand"))
-        .unionByName(candidates.select("_g", "_v", zero.alias("pos"), zero.alias("n"), F.lit(1).cast("long").alias("cand")))
+        cells.select("_g", "_v", "pos", "n", F.lit(False).alias("cand"))
+        .unionByName(marked)
         .groupBy("_g", "_v")
         .agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.max("cand").alias("cand"))
     )
-    ranked = ranked_cells(axis, ["pos", "n"], **bucketing).join(
-        candidates.select("_g", "_v").distinct(), ["_g", "_v"], "left_semi"
-    )
+    ranked = ranked_cells(axis, ["pos", "n"], **bucketing).where("cand")
     tp = F.col("pos_total") - F.col("pos_before")
     fp = (F.col("n_total") - F.col("n_before")) - tp
     fn = F.col("pos_before")
@@ -53,19 +53,20 @@ def _metrics_at(cells: DataFrame, candidates: DataFrame, **bucketing: int) -> Da
 
 
 def score_candidates(cells: DataFrame, **bucketing: int) -> DataFrame:
-    """Distinct scores rounded to 10 places; above 400 of them, 400 even quantiles; and 0.5."""
+    """Distinct scores rounded to 10 places; above 400 of them, 400 even quantiles; and 0.5.
+
+    ``cells`` is read several times and should be a written table.
+    """
     most = MAX_SCORE_CANDIDATES
     rounded = cells.select("_g", rounded_half_even(F.col("_v"), 10).alias("_v")).distinct()
-    sizes = rounded.groupBy("_g").agg(F.count(F.lit(1)).alias("k"))
+    sizes = materialize(rounded.groupBy("_g").agg(F.count(F.lit(1)).alias("k")))
     few = sizes.where(F.col("k") <= most).select("_g")
     many = sizes.where(F.col("k") > most).select("_g")
-    quantiles = quantiles_of_cells(cells.join(many, "_g", "left_semi"), most, **bucketing)
-    return (
-        rounded.join(few, "_g", "left_semi")
-        .unionByName(quantiles.select("_g", F.col("quantile").alias("_v")))
-        .unionByName(sizes.select("_g", F.lit(0.5).alias("_v")))
-        .distinct()
-    )
+    found = rounded.join(few, "_g", "left_semi").unionByName(sizes.select("_g", F.lit(0.5).alias("_v")))
+    if not many.isEmpty():
+        quantiles = quantiles_of_cells(cells.join(many, "_g", "left_semi"), most, **bucketing)
+        found = found.unionByName(quantiles.select("_g", F.col("quantile").alias("_v")))
+    return found.distinct()
 
 
 def search_threshold(
@@ -85,7 +86,7 @@ def search_threshold(
     ``on_empty="raise"``.
     """
     by = list(by)
-    cells = _score_cells(df, truth, score, by)
+    cells = materialize(_score_cells(df, truth, score, by))
     rated = _metrics_at(cells, score_candidates(cells, **bucketing), **bucketing)
     floor_met = F.col("precision") >= min_precision
     order = F.struct(
@@ -120,7 +121,7 @@ def search_rain_threshold(
     Candidates: 0.05, 0.10 .. 0.95 and all scores rounded to 8 places.
     """
     by = list(by)
-    cells = _score_cells(df, truth, score, by)
+    cells = materialize(_score_cells(df, truth, score, by))
     step = (0.95 - 0.05) / 18
     grid = F.array(*[F.lit(0.95 if i == 18 else i * step + 0.05) for i in range(19)])
     fixed = cells.select("_g").distinct().select("_g", F.explode(grid).alias("_v"))

@@ -42,8 +42,11 @@ def _sorted_rows(columns, rows):
 def compare(df, con, sql) -> str | None:
     """None when equal, otherwise a short description of the difference."""
     a_cols, a = _sorted_rows(df.columns, [tuple(r) for r in df.collect()])
+    start = time.time()
     cur = con.execute(sql)
     b_cols, b = _sorted_rows([d[0] for d in cur.description], cur.fetchall())
+    if time.time() - start > 10:
+        print(f"  slow SQL: {time.time() - start:.0f}s")
     if a_cols != b_cols:
         return f"columns {sorted(set(a_cols) ^ set(b_cols))}"
     if len(a) != len(b):
