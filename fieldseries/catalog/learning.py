@@ -1 +1,38 @@
-"""Filled below."""
+"""Undersampling and model fits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldseries.catalog.fixtures import table
+from fieldseries.catalog.registry import query
+from fieldseries.operators.tomek import remove_tomek_links, tomek_links
+
+TOMEK_SQL = """with p as (select vec_id, label % 2 as y, embedding::double[] as x from embeddings),
+  d as (select a.vec_id as a, b.vec_id as b, a.y as ya, b.y as yb,
+          round(list_sum(list_transform(range(1, 65), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))), 9) as dist
+        from p a join p b on a.vec_id <> b.vec_id),
+  nn as (select * from d qualify row_number() over (partition by a order by dist, b) = 1),
+  links as (select l.a as vec_id, l.ya as y, l.b as partner_id from nn l join nn r on l.a = r.b and l.b = r.a where l.ya <> l.yb)"""
+
+
+def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 2).cast("int").alias("y")
+    )
+
+
+@query("tomek_links", f"{TOMEK_SQL} select vec_id, cast(y as int) as y, partner_id from links")
+def tomek_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tomek_links(embedding_rows(spark, sf_dir), "x", "y", "vec_id", block_rows=64, visitor_rows=128)
+
+
+@query(
+    "tomek_undersampling",
+    f"""{TOMEK_SQL}, c as (select sum(y) as n1, sum(1 - y) as n0 from p)
+      select vec_id, cast(y as int) as y from p where vec_id not in
+        (select vec_id from links, c where y = case when n1 >= n0 then 1 else 0 end)""",
+)
+def tomek_undersampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_tomek_links(embedding_rows(spark, sf_dir), "x", "y", "vec_id").select("vec_id", "y")
