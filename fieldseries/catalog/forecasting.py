@@ -1 +1,61 @@
-"""Filled below."""
+"""Autoregressive forecasts and forecasts from outside."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldseries.catalog.features import sql_weather_samples
+from fieldseries.catalog.fixtures import PANEL, SITE, SPLIT, site_panel, split_panel
+from fieldseries.catalog.registry import query, r6, rounded
+from fieldseries.operators.forecast import ar_forecast, attach_forecasts, external_forecasts
+from fieldseries.operators.windows import long_context, weather_windows
+from fieldseries.plans.weather import HEADS, long_heads
+from fieldseries.schema import WEATHER_VARIABLES
+
+SERIES = "partition by site order by year, day"
+
+
+@query(
+    "ar1_forecast",
+    f"""{SPLIT}, tr as (select site, year, day, target_favorable * 1e0 as y, lag(target_favorable * 1e0) over ({SERIES}) as l,
+        row_number() over (partition by site order by year desc, day desc) as r from tagged where split = 'train'),
+      fit as (select site, sum(y * l) as xy, sum(l * l) as xx, avg(y) as m, max(case when r = 1 then y end) as y0
+        from tr group by site),
+      ahead as (select *, row_number() over ({SERIES}) as k from tagged where split <> 'train')
+      select site, year, day, split, target_favorable as y_true,
+        {r6('''case when m is null then 0.5e0 when xx is null or xx = 0 then m
+          else least(greatest(pow(xy / xx, k) * y0, 0), 1) end''', 'y_score')}
+      from ahead left join fit using (site)""",
+)
+def ar1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ar_forecast(split_panel(spark, sf_dir), ["site"], ["year", "day"], "target_favorable", 1))
+
+
+@query("seasonal_ar_forecast")
+def seasonal_ar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ar_forecast(split_panel(spark, sf_dir), ["site"], ["year", "day"], "target_favorable", 3, 7))
+
+
+@query(
+    "external_forecasts",
+    f"{PANEL}, {sql_weather_samples(7)} "
+    + " union all ".join(
+        f"select concat_ws('_', site, year, day) as sample_id, '{lead}' as lead, '{v}' as variable, "
+        f"{r6(f'{lead}_{v}', 'y_true')}, {r6(f'{v}_lag_{1 if lead == 'lead_1' else 0}', 'y_pred')} from samples "
+        f"where {v}_lag_1 is not null and {v}_lag_0 is not null"
+        for lead, v in HEADS
+    ),
+)
+def external_forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context itself plays the forecaster: its last two steps are the leads."""
+    samples, _ = weather_windows(site_panel(spark, sf_dir), 7, SITE)
+    output = long_context(samples, 7).withColumnsRenamed({v: f"{v}_median" for v in WEATHER_VARIABLES})
+    forecasts = external_forecasts(output)
+    heads = long_heads(samples, ["sample_id"], {h: F.lit(None) for h in HEADS}).drop("y_baseline", "y_model")
+    both = F.array(F.lit("lead_1"), F.lit("lead_2"))
+    complete = forecasts.groupBy("sample_id", "variable").agg(F.count("y_pred").alias("n")).where("n = 2")
+    wanted = complete.select("sample_id", "variable", F.explode(both).alias("lead"))
+    return rounded(attach_forecasts(heads.join(wanted, ["sample_id", "lead", "variable"], "left_semi"), forecasts)).select(
+        "sample_id", "lead", "variable", "y_true", "y_pred"
+    )

@@ -21,7 +21,7 @@ def rank_key(min_precision: Column | float = MIN_PRECISION) -> list[Column]:
 
 def rank_runs(runs: DataFrame, min_precision: Column | float = MIN_PRECISION, sequence: str = "run_seq") -> DataFrame:
     """Add the rank key and ``model_rank``, 1 = best; ties keep the run order."""
-    keyed = runs.select("*", *rank_key(min_precision))
+    keyed = runs.drop("precision_floor_met").select("*", *rank_key(min_precision))
     order = [F.col(c).desc() for c in ("precision_floor_met", "rank_recall", "rank_pr_auc", "rank_f1", "rank_roc_auc")]
     return keyed.withColumn(
         "model_rank", F.row_number().over(Window.partitionBy("model").orderBy(*order, F.col(sequence)))
