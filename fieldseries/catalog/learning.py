@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldseries.catalog.fixtures import table
+from fieldseries.catalog.fixtures import SITE, site_panel, table
 from fieldseries.catalog.registry import query
+from fieldseries.operators.learners import fit_predict, tune_classifier, with_vector
+from fieldseries.operators.materialize import materialize
 from fieldseries.operators.tomek import remove_tomek_links, tomek_links
+from fieldseries.plans.experiments import disease_benchmark, simple_benchmark
+from fieldseries.plans.weather import weather_benchmark
 
 TOMEK_SQL = """with p as (select vec_id, label % 2 as y, embedding::double[] as x from embeddings),
   d as (select a.vec_id as a, b.vec_id as b, a.y as ya, b.y as yb,
@@ -36,3 +40,71 @@ def tomek_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tomek_undersampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_tomek_links(embedding_rows(spark, sf_dir), "x", "y", "vec_id").select("vec_id", "y")
+
+
+# -- fits: seeded, checked by row counts and by the tests ---------------------------
+
+QUICK: dict[str, dict] = {
+    "logreg": {"max_iter": 20},
+    "svm": {"max_iter": 10},
+    "rf": {"n_trees": 10, "max_depth": 5},
+    "xgboost": {"n_trees": 5, "max_depth": 3},
+    "lightgbm": {"n_trees": 5, "max_depth": 3},
+    "catboost": {"n_trees": 5, "max_depth": 3},
+}
+
+
+def quality_rows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Labelled documents in three parts, split by a hash of the id."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 20000.0).alias("size"), F.length("text").alias("length"))
+    rows = table(spark, sf_dir, "labels").join(documents, "doc_id")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(10))
+    rows = materialize(with_vector(rows, ["size", "length"]).withColumn("part", part))
+    return {
+        "train": rows.where("part < 6"),
+        "validation": rows.where("part in (6, 7)"),
+        "test": rows.where("part > 7"),
+    }
+
+
+def _fit_query(model: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = quality_rows(spark, sf_dir)
+        scored, _ = fit_predict(model, parts["train"], parts["test"], "quality", parts["validation"], QUICK[model])
+        return scored.select("doc_id", "quality", "y_score", "y_pred_binary")
+
+    return run
+
+
+for _model in QUICK:
+    query(f"fit_{_model}")(_fit_query(_model))
+
+
+@query("tuned_logreg")
+def tuned_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = quality_rows(spark, sf_dir)
+    best = tune_classifier("logreg", parts["train"], parts["validation"], "quality", 3, base=QUICK["logreg"])
+    scored, _ = fit_predict("logreg", parts["train"], parts["test"], "quality", parts["validation"], best)
+    return scored.select("doc_id", "quality", "y_score", "y_pred_binary")
+
+
+@query("disease_benchmark")
+def disease_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = disease_benchmark(
+        materialize(site_panel(spark, sf_dir)), SITE, ["logreg", "simcast", "arima"], variants=["interaction_fe"],
+        fallback=True, params=QUICK,
+    )
+    return out["runs"].drop("seconds")
+
+
+@query("simple_benchmark")
+def simple_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = materialize(site_panel(spark, sf_dir))
+    return simple_benchmark(panel, SITE, ["logreg", "blitecast"], fallback=True, params=QUICK)["runs"]
+
+
+@query("weather_benchmark")
+def weather_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = materialize(site_panel(spark, sf_dir))
+    out = weather_benchmark(panel, SITE, ["lightgbm_hybrid"], [7], params={"n_trees": 2, "max_depth": 3})
+    return out["summary"].drop("seconds")
