@@ -115,7 +115,9 @@ def look_back(
     """Flat look-back of finalised rows as one array, feature-major, oldest first.
 
     The array keeps the plan narrow: its names are :func:`look_back_names`.
-    Rows without a full history are dropped.
+    Rows without a full history are dropped. Give it written rows (the plans
+    do): stacked on the null checks of a hundred computed features, the
+    optimizer would try to infer constraints for every combination of them.
     """
     if int(rows) <= 0:
         raise ValueError("window_size must be positive")
