@@ -15,7 +15,7 @@ def write_year(folder, name, first_day, n, gap=False, columns=16):
     lines = [",".join(f"any {i}" for i in range(columns))]
     for i in range(n):
         day = first_day + i + (1 if gap and i > 50 else 0)
-        cells = ["1900", str(day), '" 1,5"', "б,2", "", "1", *["2"] * 10]
+        cells = ["1900", str(day), '" 1,5"', '"б,2"', "", "1", *["2"] * 10]
         lines.append(",".join(cells[:columns]))
     (folder / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
 
