@@ -2,7 +2,7 @@
 
 Two forms of the same fold. ``encode_words`` is DataFrame functions only: higher-order
 functions fold the merges of each distinct word over an array of byte pieces, with the
-ranks as a literal. ``encode`` runs the fold in Arrow batches, once for each distinct
+ranks as a literal. ``tokens`` runs the fold in Arrow batches, once for each distinct
 word that a task meets; it is the form for whole corpora (see the README for why).
 """
 
@@ -112,33 +112,15 @@ def _words(key: int, ranks: dict[bytes, int]) -> _Words:
     return _WORKER[key]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``ids`` (array of int) of each row: the tokens of its whole text.
+def tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The tokens of each row's whole text: ``id_col``, ``n_tokens``, ``ids``, ``ids_sha256``, ``decoded_sha256``.
 
-    A null or empty text has no tokens. Each match of ``pattern`` is encoded separately,
-    without special tokens. Repeated rows give repeated rows.
+    Each match of ``pattern`` is encoded separately, without special tokens, as the fold
+    of ranked merges over its bytes. ``ids_sha256`` is of the ids as little-endian 32-bit
+    integers, ``decoded_sha256`` of the bytes that the ids decode to. A null or empty
+    text has no tokens. Repeated rows give repeated rows, an empty table an empty one;
+    other columns are not read.
     """
-    return _encoded(docs, ranks, pattern, id_col, text_col, None)
-
-
-def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
-    """Add ``decoded`` (binary): the pieces of the ids, concatenated. Null ids give no bytes; an unknown id is an error."""
-    pieces = tokens.sparkSession.sparkContext.broadcast({i: p for p, i in ranks.items()})
-
-    @F.pandas_udf(T.BinaryType())
-    def join(ids):
-        table = pieces.value
-        return ids.map(lambda row: b"" if row is None else b"".join(table[int(i)] for i in row))
-
-    return tokens.withColumn("decoded", join(F.col(ids_col)))
-
-
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token count of each row, and SHA-256 of its ids (little-endian, 32 bits) and of the bytes decoded from them."""
-    return _encoded(docs, ranks, pattern, id_col, text_col, "digest")
-
-
-def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, form: str | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     key = hash(tuple(ranks.items()))
 
@@ -147,28 +129,31 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
         words, split = _words(key, known), regex.compile(pattern).findall
         piece = dict(zip(known.values(), known.keys(), strict=True))
         for batch in slices(batches):
-            counts, first, second, arrays = [], [], [], []
+            arrays, first, second = [], [], []
             for text in batch.column("text").to_pylist():
                 raw = b"".join(map(words.__getitem__, split(text))) if text else b""
-                ids = np.frombuffer(raw, "<u4")
-                if form is None:
-                    arrays.append(ids.astype(np.int32))
-                    continue
-                counts.append(len(ids))
+                arrays.append(np.frombuffer(raw, "<u4"))
                 first.append(hashlib.sha256(raw).hexdigest())
-                second.append(hashlib.sha256(b"".join(map(piece.__getitem__, ids.tolist()))).hexdigest())
-            if form is None:
-                sizes = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-                values = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-                out = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(values))]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *out], names=[id_col, "ids"])
-            else:
-                out = [pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *out], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                second.append(hashlib.sha256(b"".join(map(piece.__getitem__, arrays[-1].tolist()))).hexdigest())
+            counts = np.array([len(a) for a in arrays], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.concatenate(arrays).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), ids, pa.array(first), pa.array(second)], names=[id_col, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rest = "ids array<int>" if form is None else "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, {rest}")
+    schema = f"`{id_col}` {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
+    """Add ``decoded`` (binary): the pieces of the ids, concatenated. Null ids give no bytes; an unknown id is an error."""
+    pieces = tokens.sparkSession.sparkContext.broadcast({i: p for p, i in ranks.items()})
+
+    @F.pandas_udf(T.BinaryType())
+    def join(ids):
+        table = pieces.value
+        return ids.map(lambda row: b"" if row is None else b"".join(table[int(i)] for i in row))
+
+    return tokens.withColumn("decoded", join(F.col(ids_col)))
 
 
 #: Buckets of the literal rank map: a look-up scans one bucket, a dozen pieces on average.

@@ -27,6 +27,7 @@ WINDOW, STEP = 32, 16
 #: Words of a document in one row of the token table; the next row repeats the overlap.
 SEGMENT = 8192
 _TOKENS_AT_ONCE = 60_000
+_PAIRS_HELD = 4_000_000
 _CHUNK = 256
 
 
@@ -144,42 +145,78 @@ def document_frequencies(tokens: DataFrame, terms: int) -> tuple[np.ndarray, int
     return df[:terms], int(df[terms])
 
 
-def _gram_product(tokens: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """X' X basis, where the rows of X are the unit TF-IDF vectors of all passages.
+def cooccurrences(tokens: DataFrame, use: np.ndarray) -> DataFrame:
+    """``a``, ``b`` (a <= b) and ``n``: how often two terms of ``use`` stand in one passage, over all passages.
 
-    Each task adds up its passages; the sums, in chunks of terms, are added in two
-    rounds. Only the terms x rank matrix comes to the driver.
+    With the terms' weights this is the upper half of X'X, the rows of X being the
+    TF-IDF vectors of the passages. Tasks add up pairs before they are shuffled.
+    """
+    terms = len(use)
+
+    def compact(held: list) -> list:
+        keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return [(keys, np.bincount(where, weights=np.concatenate([n for _, n in held])).astype(np.int64))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for part, segment, pos, term in _parts(batches):
+            mine = (pos < part.column("own").to_numpy()[segment]) & use[term]
+            passage = segment[mine] * (SEGMENT // WINDOW + 1) + pos[mine] // WINDOW
+            t = term[mine].astype(np.int64)
+            at, keys = np.arange(len(t)), []
+            for lag in range(WINDOW):
+                at = at[at < len(t) - lag]
+                at = at[passage[at] == passage[at + lag]]
+                if not len(at):
+                    break
+                x, y = t[at], t[at + lag]
+                keys.append(np.minimum(x, y) * terms + np.maximum(x, y))
+                if lag:  # a pair of equal terms counts in both orders
+                    keys.append(keys[-1][x == y])
+            if keys:
+                sorted_keys = np.sort(np.concatenate(keys))
+                starts = _runs(sorted_keys)
+                held.append((sorted_keys[starts], np.diff(np.append(starts, len(sorted_keys)))))
+            if sum(len(k) for k, _ in held) > _PAIRS_HELD:
+                held = compact(held)
+                if len(held[0][0]) > _PAIRS_HELD // 2:
+                    yield batch_of(held.pop())
+        if held:
+            yield batch_of(compact(held)[0])
+
+    def batch_of(found: tuple) -> pa.RecordBatch:
+        keys, n = found
+        return pa.RecordBatch.from_arrays([pa.array((keys // terms).astype(np.int32)), pa.array((keys % terms).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
+
+    return tokens.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _times(pairs: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """X'X basis from the pair table.
+
+    Each task adds up its rows; the sums, in chunks of terms, are added in two rounds.
+    Only the terms x rank matrix comes to the driver.
     """
     terms, rank = basis.shape
-    spark = tokens.sparkSession
-    shared = spark.sparkContext.broadcast((weights.astype(np.float32), basis.astype(np.float32)))
+    shared = pairs.sparkSession.sparkContext.broadcast((weights, basis.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, q = shared.value
         total = np.zeros((terms, rank), np.float64)
-        for part, segment, pos, term in _parts(batches):
-            own = part.column("own").to_numpy()
-            mine = (pos < own[segment]) & (weight[term] > 0)
-            seg, pos, term = segment[mine], pos[mine], term[mine]
-            starts = _runs(seg * (SEGMENT // WINDOW + 1) + pos // WINDOW)
-            if not len(starts):
-                continue
-            length = np.diff(np.append(starts, len(term)))
-            w = weight[term]
-            # the norm needs each term's count: equal terms of a passage add up before they are squared
-            passage = np.repeat(np.arange(len(starts)), length)
-            key, where = np.unique(passage * np.int64(terms) + term, return_inverse=True)
-            sums = np.bincount(where, weights=w)
-            norm2 = np.bincount(key // terms, weights=sums * sums, minlength=len(starts))
-            y = np.add.reduceat(q[term] * w[:, None], starts, axis=0) / norm2[:, None]
-            order = np.argsort(term, kind="stable")
-            sorted_terms = term[order]
-            at = _runs(sorted_terms)
-            total[sorted_terms[at]] += np.add.reduceat((y[passage] * w[:, None])[order], at, axis=0)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 20_000):
+                a, b, n = (batch.column(c).slice(k, 20_000).to_numpy() for c in ("a", "b", "n"))
+                value = (n * weight[a] * weight[b]).astype(np.float32)
+                for x, y, keep in ((a, b, slice(None)), (b, a, a != b)):
+                    order = np.argsort(x[keep], kind="stable")
+                    into, source, v = x[keep][order], y[keep][order], value[keep][order]
+                    if len(into):
+                        at = _runs(into)
+                        total[into[at]] += np.add.reduceat(q[source] * v[:, None], at, axis=0)
         chunks = range(0, terms, _CHUNK)
         salt = TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_arrays(
-            [pa.array([c // _CHUNK for c in chunks], pa.int32()), pa.array([salt] * len(chunks), pa.int32()), pa.array([total[c : c + _CHUNK].astype(np.float64).tobytes() for c in chunks], pa.binary())],
+            [pa.array([c // _CHUNK for c in chunks], pa.int32()), pa.array([salt] * len(chunks), pa.int32()), pa.array([total[c : c + _CHUNK].tobytes() for c in chunks], pa.binary())],
             names=["chunk", "salt", "sums"],
         )
 
@@ -188,30 +225,32 @@ def _gram_product(tokens: DataFrame, weights: np.ndarray, basis: np.ndarray) ->
         return pdf.head(1).assign(sums=[total.tobytes()])
 
     schema = "chunk int, salt int, sums binary"
-    parts = tokens.mapInArrow(run, schema).groupBy("chunk", "salt").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
+    parts = pairs.mapInArrow(run, schema).groupBy("chunk", "salt").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
     out = np.zeros((terms, rank))
     for r in parts.collect():
         out[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.sums, np.float64).reshape(-1, rank)
     return out
 
 
-def latent_space(tokens: DataFrame, terms: int, rank: int = 64, oversample: int = 16, max_df: float = 0.05, seed: int = 7) -> np.ndarray:
+def latent_space(tokens: DataFrame, terms: int, rank: int = 128, oversample: int = 16, max_df: float = 0.05, seed: int = 7) -> np.ndarray:
     """Terms x rank: each term's place in the latent space, times its inverse document frequency.
 
-    Randomised SVD of the unit TF-IDF vectors of all passages: a random range, one power
-    step, then the small problem on that range. Terms of more than ``max_df`` of all
-    passages are stop words and weigh nothing here; subsequences count them.
+    Randomised SVD of the TF-IDF vectors of all passages: a random range, one power step,
+    then the small problem on that range. Dimensions are divided by their singular values,
+    so that what most passages of a language share does not outweigh the rest. Terms of
+    more than ``max_df`` of all passages are stop words and weigh nothing here;
+    subsequences count them.
     """
     df, n = document_frequencies(tokens, terms)
     weights = np.where((df > 0) & (df <= max(1.0, max_df * n)), np.log((1.0 + n) / (1.0 + df)), 0.0)
-    # a term that no document has matters to no window
+    pairs = materialize(cooccurrences(tokens, weights > 0))
     width = min(terms, rank + oversample)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
-    q = np.linalg.qr(_gram_product(tokens, weights, q))[0]
-    small = q.T @ _gram_product(tokens, weights, q)
+    q = np.linalg.qr(_times(pairs, weights, q))[0]
+    small = q.T @ _times(pairs, weights, q)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    top = np.argsort(values)[::-1][:rank]
-    return weights[:, None] * (q @ vectors[:, top])
+    top = [k for k in np.argsort(values)[::-1][:rank] if values[k] > 1e-9 * max(values.max(), 1e-9)]
+    return weights[:, None] * (q @ vectors[:, top]) / np.sqrt(values[top])
 
 
 def common_subsequence(item: np.ndarray, sequence: np.ndarray) -> int:
@@ -232,10 +271,10 @@ def common_subsequence(item: np.ndarray, sequence: np.ndarray) -> int:
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
-    min_cosine: float = 0.4,
+    min_cosine: float = 0.5,
     min_common: float = 0.8,
     min_paraphrase: float = 0.6,
-    rank: int = 64,
+    rank: int = 128,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -299,9 +338,8 @@ def find_leaks(
                 answer = bench.answers[j]
                 found = common_subsequence(answer, region) == len(answer)
                 if common >= min_common or found:
-                    best = rows.get((s, j))
-                    if best is None or common > best[1]:
-                        rows[s, j] = [float(likeness[k, j]), common, found]
+                    best = rows.get((s, j), [0.0, 0.0, False])
+                    rows[s, j] = [max(best[0], float(likeness[k, j])), max(best[1], common), best[2] or found]
             if rows:
                 keys = list(rows)
                 values = list(rows.values())

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textvec import slices
 
@@ -109,8 +110,8 @@ def fit_profiles(labelled: DataFrame, size: int = 400, text_col: str = "text", l
     return {lang: g.sort_values("rank")["gram"].to_numpy(np.int64).view(np.uint64) for lang, g in found.groupby("lang", sort=True)}
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``lang_pred`` and ``score`` of each row of ``docs``, from its text alone.
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` of each row, from its text alone; columns of these names are replaced.
 
     The distance to a language sums, over the document's ``size`` most frequent n-grams,
     how far each is out of place in the profile; an absent one costs ``size``. The
@@ -125,8 +126,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400, i
         ranks[np.searchsorted(known, profiles[name]), j] = np.arange(len(profiles[name]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            grams, bounds, lengths = _grams(batch.column("text").to_pylist())
+        for batch in slices(batches, text_col):
+            grams, bounds, lengths = _grams(batch.column(text_col).to_pylist())
             best, score = [], []
             for k in range(len(lengths)):
                 values = _of(grams, bounds, k)
@@ -143,8 +144,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400, i
                 j = int(np.argmin(away))
                 best.append(names[j])
                 score.append(1.0 - float(away[j]) / (size * len(codes)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(kept)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

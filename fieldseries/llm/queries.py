@@ -43,7 +43,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.digests(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.tokens(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN).drop("ids")
 
 
 LINE_SQL = r"""
