@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, line_dedup, near_dedup
+from fieldseries.operators.materialize import shared_folder
+
+from . import byte_bpe, decontaminate, fingerprint, language, line_dedup, near_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +94,37 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_decontaminate")
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op5_fingerprints")
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(documents(spark, sf_dir))
+
+
+WARC_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select d, min(page_id) as first from p where n >= 100 group by d)
+select p.page_id, p.n as payload_bytes, p.d as payload_digest,
+       case when f.first < p.page_id then 'revisit' else 'response' end as record_type,
+       case when f.first < p.page_id then f.first end as refers_to
+from p left join f on p.d = f.d
+"""
+
+
+@query("op6_warc", WARC_SQL)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    found = warc.read_archives(spark, folder)
+    response = F.col("record_type") == "response"
+
+    def number(urn: str):
+        return F.nullif(F.regexp_extract(urn, r"^<urn:page:(-?\d*)>$", 1), F.lit("")).cast("long")
+
+    return found.select(
+        number("record_id").alias("page_id"),
+        F.when(response, F.length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
+        F.when(response, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
