@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldseries.operators.materialize import shared_folder
 
-from . import byte_bpe, decontaminate, fingerprint, language, line_dedup, near_dedup, warc
+from . import byte_bpe, decontaminate, fingerprint, language, line_dedup, main_text, near_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         number("refers_to").alias("refers_to"),
     )
+
+
+@query("op7_main_text")
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
