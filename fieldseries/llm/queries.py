@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldseries.operators.materialize import shared_folder
 
-from . import byte_bpe, decontaminate, fingerprint, language, line_dedup, main_text, near_dedup, warc
+from . import byte_bpe, decontaminate, fingerprint, language, line_dedup, main_text, near_dedup, pii, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,18 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_main_text")
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def _written(spans):
+    """kind:start:end, comma-joined."""
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+    each = F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string")))
+    return F.array_join(each, ",")
+
+
+@query("op8_private")
+def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    every = F.array_sort(F.concat("base", "extra"))
+    return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"), F.size("extra").cast("long").alias("n_extra"))
