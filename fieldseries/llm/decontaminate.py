@@ -26,7 +26,7 @@ MAX_BENCHMARK_CHARS = 200_000_000
 WINDOW, STEP = 32, 16
 #: Words of a document in one row of the token table; the next row repeats the overlap.
 SEGMENT = 8192
-_TOKENS_AT_ONCE = 60_000
+_TOKENS_AT_ONCE = 30_000
 _PAIRS_HELD = 4_000_000
 _CHUNK = 256
 
@@ -123,6 +123,21 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
 
 
+def _sums(table: np.ndarray, term: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the terms' rows over the runs that begin at ``starts``: the first terms of all runs, then the second ones."""
+    out = np.empty((len(starts), table.shape[1]), table.dtype)
+    length = np.diff(np.append(starts, len(term)))
+    for k in range(0, len(starts), 1000):
+        s, n, part = starts[k : k + 1000], length[k : k + 1000], out[k : k + 1000]
+        np.take(table, term[s], axis=0, out=part)
+        more, i = np.flatnonzero(n > 1), 1
+        while len(more):
+            part[more] += table[term[s[more] + i]]
+            i += 1
+            more = more[n[more] > i]
+    return out
+
+
 def document_frequencies(tokens: DataFrame, terms: int) -> tuple[np.ndarray, int]:
     """Passages that hold each term, and all passages, over the whole table; partial counts are made in the tasks."""
 
@@ -304,33 +319,37 @@ def find_leaks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, vectors, bench = shared.value
         heavy = np.abs(space).sum(axis=1) > 0
+        sizes = np.array([len(x) for x in bench.items])
+        holds = np.zeros((len(bench.items), len(bench.vocabulary)), bool)
+        for j, item in enumerate(bench.items):
+            holds[j, item] = True
         for part, segment, pos, term in _parts(batches):
             ids, own = part.column("id"), part.column("own").to_numpy()
             use = heavy[term]
-            block = segment[use] * (2 * SEGMENT // STEP + len(bench.vocabulary)) + pos[use] // STEP
+            block = segment[use] * np.int64(4 * SEGMENT) + pos[use] // STEP
             starts = _runs(block)
             if not len(starts):
                 continue
-            sums = np.add.reduceat(space[term[use]], starts, axis=0)
-            at, seg = block[starts], segment[use][starts]
+            sums = _sums(space, term[use], starts)
+            at, seg, first = block[starts], segment[use][starts], pos[use][starts] // STEP * STEP
             windows = sums.copy()
             follows = np.flatnonzero(at[1:] == at[:-1] + 1)
             windows[follows] += sums[follows + 1]
             windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
             likeness = windows @ vectors.T
             w, item = np.nonzero(likeness >= min_cosine)
-            edges = np.searchsorted(segment, np.arange(part.num_rows + 1))
+            mine = first[w] < own[seg[w]]
+            w, item = w[mine], item[mine]
+            # each candidate's surroundings, as places among the part's tokens
+            place = segment * np.int64(1 << 32) + pos
+            base = seg[w] * np.int64(1 << 32) + first[w]
+            low = np.searchsorted(place, np.maximum(base - sizes[item], seg[w] * np.int64(1 << 32)))
+            high = np.searchsorted(place, base + WINDOW + sizes[item])
             rows: dict[tuple[int, int], list] = {}
-            for k, j in zip(w.tolist(), item.tolist(), strict=True):
-                s = int(seg[k])
-                start = int(pos[use][starts[k]]) // STEP * STEP
-                if start >= own[s]:
-                    continue
-                size = len(bench.items[j])
-                mine = pos[edges[s] : edges[s + 1]]
-                a, b = np.searchsorted(mine, (start - size, start + WINDOW + size))
-                region = term[edges[s] + a : edges[s] + b]
-                if len(region) < min_paraphrase * size:
+            for k, j, a, b in zip(w.tolist(), item.tolist(), low.tolist(), high.tolist(), strict=True):
+                region, size = term[a:b], len(bench.items[j])
+                # no subsequence is longer than the words that the item has at all
+                if np.count_nonzero(holds[j][region]) < min_paraphrase * size:
                     continue
                 common = common_subsequence(bench.items[j], region) / size
                 if common < min_paraphrase:
@@ -338,8 +357,9 @@ def find_leaks(
                 answer = bench.answers[j]
                 found = common_subsequence(answer, region) == len(answer)
                 if common >= min_common or found:
-                    best = rows.get((s, j), [0.0, 0.0, False])
-                    rows[s, j] = [max(best[0], float(likeness[k, j])), max(best[1], common), best[2] or found]
+                    key = (int(seg[k]), j)
+                    best = rows.get(key, [0.0, 0.0, False])
+                    rows[key] = [max(best[0], float(likeness[k, j])), max(best[1], common), best[2] or found]
             if rows:
                 keys = list(rows)
                 values = list(rows.values())
