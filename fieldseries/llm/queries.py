@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldseries.operators.materialize import shared_folder
 
-from . import byte_bpe, decontaminate, fingerprint, language, line_dedup, main_text, near_dedup, pii, warc
+from . import byte_bpe, decontaminate, fingerprint, language, line_dedup, main_text, near_dedup, pii, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,8 @@ def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     every = F.array_sort(F.concat("base", "extra"))
     return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"), F.size("extra").cast("long").alias("n_extra"))
+
+
+@query("op4_substrings")
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeats(documents(spark, sf_dir)).drop("kept")
