@@ -389,7 +389,7 @@ def look_back_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def oracle_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = site_panel(spark, sf_dir)
-    names = feat.resolve_oracle_features(None, panel.columns)
+    names = feat.observed_weather(panel.columns)
     work, columns = win.oracle_window(panel, 2, names, SITE)
     return rounded(work.select(*SITE.columns, *columns))
 

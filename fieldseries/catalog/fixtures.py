@@ -12,7 +12,6 @@ from fieldseries.panel import Panel
 from fieldseries.schema import FEATURE_COLUMNS, SOURCE_COLUMNS
 
 SITE = Panel(keys=("site", "year"), order="day")
-SEASON_SQL = "152 and 243"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +22,7 @@ def _add_when(condition: Column, value: Column) -> Column:
     return F.sum(F.when(condition, value).otherwise(F.lit(0)))
 
 
-def site_panel(spark: SparkSession, sf_dir: str, whole_year: bool = False) -> DataFrame:
+def site_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily panel of shipments per supplier nation, as (site, year, day).
 
     Line items are added up per supplier and day before they meet the supplier
@@ -39,8 +38,6 @@ def site_panel(spark: SparkSession, sf_dir: str, whole_year: bool = False) -> Da
         F.round(F.col("l_tax") * 100).cast("int").alias("tax"),
         F.round(F.col("l_discount") * 100).cast("int").alias("discount"),
     )
-    if not whole_year:
-        items = items.where(F.col("day").between(152, 243))
     returned, accepted = F.col("l_returnflag") == "R", F.col("l_returnflag") == "A"
     per_supplier = items.groupBy("l_suppkey", "year", "day").agg(
         F.count(F.lit(1)).alias("n"),
@@ -101,7 +98,7 @@ e as (
   select *, 0.6e0 * q0 as t_min, 0.6e0 * q1 as t_max, 0.6e0 * qs / n as t_avg,
          case when nr > na then 1e0 else 0e0 end as rain, case when nr > na then px / 10e0 else 0e0 end as prec,
          cs * 1e0 / n as cloud
-  from d where day between {SEASON_SQL}),
+  from d),
 panel as (
 select cast(site as int) as site, cast(year as int) as year, cast(day as int) as day, t_min, t_max,
        case when (site + year + day) % 13 = 0 then null else rain end as is_rain,

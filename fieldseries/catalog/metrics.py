@@ -115,19 +115,21 @@ def auc_heavy_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "roc_points",
     f"""{EVENT_SCORES}{sql_curve('grp')} select grp, {r6('y_score', 'threshold')}, {r6('fp * 1e0 / q', 'fpr')},
-      {r6('tp * 1e0 / p', 'tpr')} from c""",
+      {r6('tp * 1e0 / p', 'tpr')} from c where p > 0 and q > 0
+      union all select distinct grp, cast(null as double), 0e0, 0e0 from c where p > 0 and q > 0""",
 )
 def roc_point_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(met.roc_points(event_scores(spark, sf_dir), by=["grp"], cells_per_bucket=500))
+    return rounded(met.roc_points(event_scores(spark, sf_dir), by=["grp"], ranges=16))
 
 
 @query(
     "pr_points",
     f"""{EVENT_SCORES}{sql_curve('grp')} select grp, {r6('y_score', 'threshold')},
-      {r6('tp * 1e0 / (tp + fp)', 'precision')}, {r6('tp * 1e0 / p', 'recall')} from c""",
+      {r6('tp * 1e0 / (tp + fp)', 'precision')}, {r6('tp * 1e0 / p', 'recall')} from c where p > 0 and q > 0
+      union all select distinct grp, cast(null as double), 1e0, 0e0 from c where p > 0 and q > 0""",
 )
 def pr_point_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(met.pr_points(event_scores(spark, sf_dir), by=["grp"], cells_per_bucket=500))
+    return rounded(met.pr_points(event_scores(spark, sf_dir), by=["grp"], ranges=16))
 
 
 @query(
@@ -138,7 +140,7 @@ def pr_point_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exact_quantile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = table(spark, sf_dir, "events").select((F.col("user_id") % 7).cast("int").alias("grp"), "value")
-    return rounded(exact_quantiles(values, "value", [0.1, 0.5, 0.99], ["grp"], cells_per_bucket=1000))
+    return rounded(exact_quantiles(values, "value", [0.1, 0.5, 0.99], ["grp"], ranges=8))
 
 
 @query(

@@ -1,39 +1,35 @@
-"""Attaching a table with one row per run or head, without a join."""
+"""Attaching a table with one row per run or head."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LOOKUP_ROWS = 10_000
+from fieldseries.operators.materialize import materialize
+
+#: Rows that the driver reads at once where it needs them, and that a join may broadcast.
+SMALL_ROWS = 10_000
 
 
-def small_rows(small: DataFrame, limit: int = MAX_LOOKUP_ROWS) -> list:
+def small_rows(small: DataFrame, limit: int = SMALL_ROWS) -> list:
     """Rows of a table with one row per run or head; a longer table raises."""
     rows = small.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"Expected at most {limit} rows, one per run or head")
+        raise ValueError(f"more than {limit} rows where one for each run or head was expected")
     return rows
 
 
 def attach_small(df: DataFrame, small: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
-    """Add ``columns`` of ``small`` by the key ``on``; null where the key is absent.
+    """Add ``columns`` of ``small`` by the key ``on``, nulls included; null where the key is absent.
 
-    Thresholds and weights come one per head. A shuffle join on so few keys
-    would send the rows of a whole head to one task. Here the few values are
-    computed once and become a literal map, so the rows stay where they are
-    and later jobs do not repeat the search.
+    Thresholds and weights come one per head, and a head may own most rows. The table is
+    written and counted: up to ``SMALL_ROWS`` rows it is broadcast, so the rows stay where
+    they are; a longer one is joined by key, where adaptive execution splits a hot head.
     """
-    rows = small_rows(small.select(*on, *columns))
-    types = {c: small.schema[c].dataType for c in [*on, *columns]}
-
-    def packed(row, names: list[str]) -> Column:
-        return F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in names])
-
-    empty = [F.lit(None).cast(types[c]).alias(c) for c in columns]
-    if not rows:
-        return df.select("*", *empty)
-    entries = F.array(*[F.struct(packed(r, on).alias("k"), packed(r, columns).alias("v")) for r in rows])
-    keys = F.struct(*[F.col(c).cast(types[c]).alias(c) for c in on])
-    hit = df.withColumn("_hit", F.try_element_at(F.map_from_entries(entries), keys))
-    return hit.select(*df.columns, *[F.col("_hit").getField(c).alias(c) for c in columns])
+    table = materialize(small.select(*[F.col(c).alias(f"_on_{c}") for c in on], *columns))
+    if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        table = F.broadcast(table)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on], F.lit(True))
+    return df.join(table, same, "left").drop(*[f"_on_{c}" for c in on])

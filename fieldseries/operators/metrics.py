@@ -136,29 +136,39 @@ def ranking_metrics(
 def roc_points(
     df: DataFrame, truth: str = "y_true", score: str = "y_score", by: Iterable[str] = (), **bucketing: int
 ) -> DataFrame:
-    """``(threshold, fpr, tpr)`` for every distinct score of two-class groups."""
+    """``(threshold, fpr, tpr)`` for every distinct score of two-class groups, and the start (null, 0, 0)."""
     curve = score_curve(df, truth, score, by, **bucketing).where("pos_total > 0 and neg_total > 0")
-    return ungroup(
-        curve,
-        by,
+    points = curve.select(
+        "_g",
         F.col("_v").alias("threshold"),
         (F.col("fp") / F.col("neg_total")).alias("fpr"),
         (F.col("tp") / F.col("pos_total")).alias("tpr"),
+        (F.col("fp") + F.col("tp") == F.col("neg_total") + F.col("pos_total")).alias("_end"),
     )
+    return ungroup(_with_end(points, threshold=None, fpr=0.0, tpr=0.0), by, "threshold", "fpr", "tpr")
+
+
+def _with_end(points: DataFrame, **values: float | None) -> DataFrame:
+    """One more point for each group: its least score, of which there is one, stands for two points."""
+    own = F.struct(*values)
+    end = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in values.items()])
+    doubled = points.withColumn("_p", F.explode(F.when(F.col("_end"), F.array(own, end)).otherwise(F.array(own))))
+    return doubled.select("_g", "_p.*")
 
 
 def pr_points(
     df: DataFrame, truth: str = "y_true", score: str = "y_score", by: Iterable[str] = (), **bucketing: int
 ) -> DataFrame:
-    """``(threshold, precision, recall)`` for every distinct score."""
+    """``(threshold, precision, recall)`` for every distinct score, and the end (null, 1, 0)."""
     curve = score_curve(df, truth, score, by, **bucketing).where("pos_total > 0 and neg_total > 0")
-    return ungroup(
-        curve,
-        by,
+    points = curve.select(
+        "_g",
         F.col("_v").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         (F.col("tp") / F.col("pos_total")).alias("recall"),
+        (F.col("fp") + F.col("tp") == F.col("neg_total") + F.col("pos_total")).alias("_end"),
     )
+    return ungroup(_with_end(points, threshold=None, precision=1.0, recall=0.0), by, "threshold", "precision", "recall")
 
 
 # -- regression ---------------------------------------------------------------

@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 
 from fieldseries.operators.materialize import materialize
 
-CELLS_PER_BUCKET = 200_000
-MAX_BUCKETS = 4096
-# Binary search steps: enough for the cuts of MAX_BUCKETS with a wide margin.
-_SEARCH_STEPS = 16
+# Binary search steps: enough for any array that a driver can hold.
+_SEARCH_STEPS = 31
 
 
 def bisect_right(cuts: Column, value: Column, steps: int = _SEARCH_STEPS) -> Column:
@@ -67,53 +65,27 @@ def value_cells(
     return keyed.groupBy("_g", "_v").agg(*[F.sum(n).alias(n) for n in sums])
 
 
-def bucket_cuts(cells: DataFrame, cells_per_bucket: int, max_buckets: int) -> DataFrame:
-    """One sorted array of cut values, at most ``max_buckets`` long.
-
-    One in ``cells_per_bucket`` distinct values is sampled by its hash, so the
-    sample is that much smaller than the data before it reaches one task, and
-    is then thinned evenly.
-    """
-    sampled = (
-        cells.where(F.pmod(F.xxhash64("_v"), F.lit(cells_per_bucket)) == 0)
-        .agg(F.sort_array(F.collect_set("_v")).alias("s"))
-        .withColumn("k", F.least(F.size("s"), F.lit(max_buckets)))
-    )
-    evenly = F.transform(
-        F.sequence(F.lit(0), F.col("k") - 1),
-        lambda i: F.get("s", F.floor(i * F.size("s") / F.col("k")).cast("int")),
-    )
-    return sampled.select(F.when(F.col("k") > 0, evenly).otherwise(F.col("s")).alias("cuts"))
-
-
-def ranked_cells(
-    cells: DataFrame,
-    sums: Iterable[str],
-    cells_per_bucket: int | None = None,
-    max_buckets: int | None = None,
-) -> DataFrame:
+def ranked_cells(cells: DataFrame, sums: Iterable[str], ranges: int | None = None) -> DataFrame:
     """Add ``{s}_before`` (weight of smaller values) and ``{s}_total`` per group.
 
-    ``cells`` has one row per ``(_g, _v)``; its other columns are kept.
+    ``cells`` has one row per ``(_g, _v)``; its other columns are kept. The cells are
+    dealt out by ranges of ``(_g, _v)`` and written once, so that range numbers stay the
+    same; each range is added up by itself, and the sums of earlier ranges of a group are
+    added to its rows. A hot group takes as many ranges as its distinct values need. Spark
+    sizes the ranges unless ``ranges`` asks for a number.
     """
     sums = list(sums)
-    per_bucket = cells_per_bucket or CELLS_PER_BUCKET
-    cells = materialize(cells)
-    if cells.count() <= per_bucket:
-        return _ranked_in_one_window(cells, sums)
-
-    # A subquery may not stand inside a lambda, so the cuts become a column first.
-    cuts = bucket_cuts(cells, per_bucket, max_buckets or MAX_BUCKETS)
-    bucket = F.coalesce(bisect_right(F.col("_cuts"), F.col("_v")), F.lit(0))
-    placed = cells.withColumn("_cuts", cuts.scalar()).withColumn("_b", bucket).drop("_cuts")
+    names = [c for c in cells.columns]
+    dealt = cells.repartitionByRange(ranges, "_g", "_v") if ranges else cells.repartitionByRange("_g", "_v")
+    placed = materialize(dealt.withColumn("_b", F.spark_partition_id()))
 
     inside = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumns({f"_in_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
 
-    buckets = placed.groupBy("_g", "_b").agg(*[F.sum(s).alias(s) for s in sums])
+    parts = placed.groupBy("_g", "_b").agg(*[F.sum(s).alias(s) for s in sums])
     earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy("_g")
-    offsets = buckets.select(
+    offsets = parts.select(
         "_g",
         "_b",
         *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_off_{s}") for s in sums],
@@ -121,22 +93,12 @@ def ranked_cells(
     )
     joined = local.join(offsets, ["_g", "_b"])
     return joined.select(
-        *cells.columns,
+        *names,
         *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"{s}_before") for s in sums],
         *[f"{s}_total" for s in sums],
     )
 
 
-def _ranked_in_one_window(cells: DataFrame, sums: list[str]) -> DataFrame:
-    earlier = Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy("_g")
-    return cells.select(
-        "*",
-        *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_before") for s in sums],
-        *[F.sum(s).over(group).alias(f"{s}_total") for s in sums],
-    )
-
-
 def ungroup(df: DataFrame, by: Iterable[str], *columns: str | Column) -> DataFrame:
     """Replace the packed key by the grouping columns."""
     return df.select(*[F.col(f"_g.{b}").alias(b) for b in by], *columns)

@@ -35,10 +35,10 @@ def split_cuts(
         rest = F.col("n") - F.col("n_test")
         n_val_used = F.when(fits, F.lit(n_validation)).otherwise(F.greatest(F.lit(1), F.ceil(rest * 0.2).cast("int")))
         enough = F.col("n") >= 3
-        message = "At least three periods are required for a train/validation/test split."
+        message = "fewer than three periods: one each for fitting, validation and test is the least"
     else:
         n_test_used, n_val_used, enough = F.lit(n_test), F.lit(n_validation), fits
-        message = "Not enough periods for a train/validation/test split."
+        message = "the asked periods of validation and test leave none to fit on"
     sized = years.withColumn("n_test", n_test_used).withColumn("n_val", n_val_used)
     train_end = F.greatest(F.lit(1), F.col("n") - F.col("n_val") - F.col("n_test"))
 

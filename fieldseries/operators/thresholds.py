@@ -107,7 +107,7 @@ def _with_empty_answer(found: DataFrame, on_empty: str) -> DataFrame:
     names = ["threshold", "precision", "recall", "f1", "objective"]
     one = found.agg(*[F.max(n).alias(n) for n in names])
     if on_empty == "raise":
-        message = F.raise_error(F.lit("Cannot search threshold on an empty validation split.")).cast("double")
+        message = F.raise_error(F.lit("no validation rows to choose a threshold on")).cast("double")
         return one.withColumn("threshold", F.coalesce(F.col("threshold"), message))
     default = {n: F.lit(0.5 if n == "threshold" else 0.0) for n in names}
     return one.select(*[F.coalesce(F.col(n), default[n]).alias(n) for n in names])

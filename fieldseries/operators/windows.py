@@ -8,6 +8,7 @@ specification, so a whole feature set costs one shuffle and one sort on
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,16 +90,26 @@ def true_run_length(df: DataFrame, flags: dict[str, str], panel: Panel) -> DataF
     return add_columns(df, columns).drop(POSITION)
 
 
-def oracle_column(feature: str, horizon: int, offset: int) -> str:
-    return f"oracle_{feature}_h{int(horizon)}_plus{int(offset)}"
+#: Names of columns that later steps and stored runs refer to.
+ORACLE_NAME = "oracle_{feature}_h{horizon}_plus{offset}"
+
+
+class Head(NamedTuple):
+    """One weather target: the column that is learned and the persistence next to it."""
+
+    target: str
+    baseline: str
+
+
+HEADS = {(lead, v): Head(f"{lead}_{v}", f"{lead}_{v}_persistence") for lead in LEADS for v in WEATHER_VARIABLES}
 
 
 def oracle_window(df: DataFrame, horizon: int, features: Iterable[str], panel: Panel) -> tuple[DataFrame, list[str]]:
     """Observed values ``h .. h+4`` rows ahead: an upper bound, not a forecast."""
     if horizon < 0:
-        raise ValueError("Oracle horizon must be non-negative.")
+        raise ValueError(f"a horizon looks ahead, {horizon} does not")
     columns = {
-        oracle_column(f, horizon, o): F.lead(f, horizon + o).over(panel.window())
+        ORACLE_NAME.format(feature=f, horizon=int(horizon), offset=o): F.lead(f, horizon + o).over(panel.window())
         for f in features
         for o in ORACLE_OFFSETS
     }
@@ -145,42 +156,23 @@ def look_back_columns(df: DataFrame, features: list[str], rows: int, panel: Pane
     return out.where(F.col(POSITION) >= rows).drop(POSITION), list(columns)
 
 
-def target_column(lead: str, variable: str) -> str:
-    return f"{lead}_{variable}"
-
-
-def baseline_column(lead: str, variable: str) -> str:
-    return f"{lead}_{variable}_persistence"
-
-
 def weather_feature_names(rows: int) -> list[str]:
     return [f"{v}_lag_{k}" for k in range(rows) for v in WEATHER_VARIABLES]
 
 
-def validate_weather_windows(windows: Iterable[int]) -> list[int]:
-    wanted = sorted({int(w) for w in windows})
-    bad = [w for w in wanted if w not in WEATHER_WINDOWS]
-    if bad:
-        raise ValueError(f"Weather windows must be one of {WEATHER_WINDOWS}; got {bad}")
-    return wanted
-
-
 def weather_windows(df: DataFrame, rows: int, panel: Panel) -> tuple[DataFrame, list[str]]:
     """Supervised rows: ``rows`` days of history, targets at t+1 and t+2, persistence.
 
     Rows with a null target are dropped; features may be null.
     """
-    validate_weather_windows([rows])
+    if rows not in WEATHER_WINDOWS:
+        raise ValueError(f"a history of {rows} days is not among {WEATHER_WINDOWS}")
     w = panel.window()
     lags = {f"{v}_lag_{k}": F.lag(v, k).over(w) for k in range(rows) for v in WEATHER_VARIABLES}
-    leads = {
-        target_column(name, v): F.lead(v, step).over(w) for name, step in LEADS.items() for v in WEATHER_VARIABLES
-    }
+    leads = {head.target: F.lead(v, LEADS[lead]).over(w) for (lead, v), head in HEADS.items()}
     position = {POSITION: F.row_number().over(w)}
     framed = df.select(*panel.columns, *[c.alias(n) for n, c in {**lags, **leads, **position}.items()])
-    baselines = {
-        baseline_column(name, v): F.col(f"{v}_lag_0") for name in LEADS for v in WEATHER_VARIABLES
-    }
+    baselines = {head.baseline: F.col(f"{v}_lag_0") for (_, v), head in HEADS.items()}
     samples = (
         framed.where(F.col(POSITION) >= rows)
         .drop(POSITION)

@@ -12,7 +12,7 @@ from fieldseries.functions.rules import DAY_SCORES, at_least, invert_predictions
 from fieldseries.operators.features import (
     finalize_rows,
     oracle_safe,
-    resolve_oracle_features,
+    observed_weather,
     variant_feature_names,
     variant_features,
 )
@@ -60,7 +60,7 @@ def prepare_features(
         names = oracle_safe(names)
     work, _ = variant_features(filled, variant, panel, no_y)
     if oracle:
-        wanted = resolve_oracle_features(oracle_features, df.columns)
+        wanted = observed_weather(df.columns, oracle_features)
         work, future = oracle_window(work, horizon, wanted, panel)
         names = list(dict.fromkeys(names + future))
     return Prepared(finalize_rows(work, names, target, panel, carry=[split]), names, target, medians)

@@ -23,7 +23,7 @@ from fieldseries.operators.learners import (
     BOOSTERS,
     CLASSIFIERS,
     add_score,
-    choose,
+    model_list,
     fit_classifier,
     fit_predict,
     tune_classifier,
@@ -116,7 +116,7 @@ def disease_benchmark(
     """
     if not 0.0 <= min_precision <= 1.0:
         raise ValueError("min_precision must be between 0 and 1.")
-    models = choose(list(models), MODELS)
+    models = model_list(list(models), MODELS)
     horizons, windows, variants = list(horizons), list(windows), list(variants)
     params = params or {}
     cuts = split_cuts(df, n_validation, n_test, split_by, fallback)
@@ -231,7 +231,7 @@ def simple_benchmark(
 
     Returns ``runs`` and ``predictions``.
     """
-    models = choose(list(models), SIMPLE_MODELS)
+    models = model_list(list(models), SIMPLE_MODELS)
     params = {"rf": {"n_trees": 200, "class_weight": "balanced"}, **(params or {})}
     tagged = with_split(df, split_cuts(df, n_validation, n_test, split_by, fallback), split_by)
     built, features = simple_features(horizon_labels(tagged, horizons, panel), windows, panel, no_y)

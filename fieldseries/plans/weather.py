@@ -20,7 +20,7 @@ from fieldseries.operators.impute import apply_medians, fit_medians
 from fieldseries.operators.learners import (
     add_score,
     add_value,
-    choose,
+    model_list,
     fit_classifier,
     fit_regressor,
     tune_head,
@@ -33,9 +33,7 @@ from fieldseries.operators.ranking import weather_leaderboard
 from fieldseries.operators.split import TEST, TRAIN, VALIDATION, split_cuts, split_table, with_split
 from fieldseries.operators.thresholds import blend, search_blend_weight, search_rain_threshold
 from fieldseries.operators.windows import (
-    baseline_column,
-    target_column,
-    validate_weather_windows,
+    HEADS,
     weather_windows,
 )
 from fieldseries.panel import Panel, check_panel
@@ -55,8 +53,8 @@ def long_heads(samples: DataFrame, keep: list[str], model_of: dict[tuple[str, st
             F.struct(
                 F.lit(lead).alias("lead"),
                 F.lit(variable).alias("variable"),
-                F.col(target_column(lead, variable)).cast("double").alias("y_true"),
-                F.col(baseline_column(lead, variable)).cast("double").alias("y_baseline"),
+                F.col(HEADS[lead, variable].target).cast("double").alias("y_true"),
+                F.col(HEADS[lead, variable].baseline).cast("double").alias("y_baseline"),
                 model_of[(lead, variable)].cast("double").alias("y_model"),
             )
             for lead, variable in HEADS
@@ -137,7 +135,7 @@ def fit_heads(
         raise ValueError("Train, validation and test samples must be non-empty.")
     scored, used = rows, {}
     for lead, variable in HEADS:
-        target, output = target_column(lead, variable), _head_column(lead, variable)
+        target, output = HEADS[lead, variable].target, _head_column(lead, variable)
         is_rain = variable == RAIN
         if is_rain:
             balance = class_balance(train, target).collect()[0]
@@ -171,14 +169,14 @@ def weather_benchmark(
     ``predictions`` (long over heads) and ``split``.
     """
     reject_forbidden_inputs(WEATHER_VARIABLES)
-    models = choose(list(models), (*MODELS, *NOT_BUILT))
+    models = model_list(list(models), (*MODELS, *NOT_BUILT))
     spark = df.sparkSession
     cuts = split_cuts(df, n_validation, n_test, split_by, fallback=True)
     tagged = materialize(
         with_split(check_panel(df, panel).select(*panel.columns, *WEATHER_VARIABLES), cuts, split_by)
     )
     decided, notes = [], []
-    for window in validate_weather_windows(windows):
+    for window in sorted({int(w) for w in windows}):
         samples, features = weather_windows(tagged, window, panel)
         reject_forbidden_inputs(features)
         samples = materialize(with_split(samples, cuts, split_by))

@@ -7,7 +7,7 @@ from fieldseries import Panel
 from fieldseries.operators import features as feat
 from fieldseries.operators import windows as win
 from fieldseries.operators.impute import impute_panel
-from fieldseries.operators.learners import canonical_model, choose, fit_predict, with_vector
+from fieldseries.operators.learners import canonical_model, model_list, fit_predict, with_vector
 from fieldseries.operators.ranking import top_runs, top_runs_by_f1
 from fieldseries.operators.split import split_cuts, split_lists
 from fieldseries.operators.thresholds import search_threshold
@@ -34,7 +34,7 @@ def test_threshold_falls_back_to_precision(spark):
 def test_threshold_on_empty_input(spark):
     empty = scores(spark, [])
     assert search_threshold(empty).collect()[0]["threshold"] == 0.5
-    with pytest.raises(Exception, match="empty validation split"):
+    with pytest.raises(Exception, match="no validation rows"):
         search_threshold(empty, on_empty="raise").collect()
 
 
@@ -54,10 +54,10 @@ def test_strict_split_is_18_6_6(spark):
 
 def test_split_refuses_too_few_years(spark):
     df = spark.createDataFrame([(y, 1) for y in range(2000, 2012)], "year int, day int")
-    with pytest.raises(Exception, match="Not enough periods"):
+    with pytest.raises(Exception, match="none to fit on"):
         split_lists(df, split_cuts(df))
     two = df.where("year < 2002")
-    with pytest.raises(Exception, match="At least three"):
+    with pytest.raises(Exception, match="fewer than three"):
         split_lists(two, split_cuts(two, fallback=True))
     lists = split_lists(df, split_cuts(df, fallback=True))
     assert [len(lists[s]) for s in ("train", "validation", "test")] == [7, 2, 3]
@@ -93,11 +93,11 @@ def test_oracle_feature_list(spark):
     columns = [*SOURCE_COLUMNS, "target_h2"]
     for bad in ("target_favorable", "target_h2", "year", "day", "y1"):
         with pytest.raises(ValueError):
-            feat.resolve_oracle_features([bad], columns)
-    assert feat.resolve_oracle_features(["T-Min", "t_min"], columns) == ["t_min"]
-    assert set(feat.resolve_oracle_features(None, columns)) == {"t_min", "t_max", "t_avg", "precipitation", "is_rain", "cloudiness"}
-    with pytest.raises(ValueError, match="missing"):
-        feat.resolve_oracle_features(["t_min"], ["t_max"])
+            feat.observed_weather(columns, [bad])
+    assert feat.observed_weather(columns, ["T-Min", "t_min"]) == ["t_min"]
+    assert set(feat.observed_weather(columns)) == {"t_min", "t_max", "t_avg", "precipitation", "is_rain", "cloudiness"}
+    with pytest.raises(ValueError, match="no column"):
+        feat.observed_weather(["t_max"], ["t_min"])
 
 
 def test_column_filters():
@@ -156,9 +156,9 @@ def test_model_names():
     assert canonical_model("LGBM") == "lightgbm" and canonical_model("sarimax") == "sarima"
     with pytest.raises(ValueError):
         canonical_model("nope")
-    assert choose(["all"], ("a", "b")) == ["a", "b"]
+    assert model_list(["all"], ("a", "b")) == ["a", "b"]
     with pytest.raises(ValueError):
-        choose(["c"], ("a", "b"))
+        model_list(["c"], ("a", "b"))
 
 
 @pytest.fixture(scope="module")

@@ -40,7 +40,7 @@ def brute_ap(y, s):
     return total
 
 
-@pytest.mark.parametrize("bucketing", [{}, {"cells_per_bucket": 20}, {"cells_per_bucket": 3, "max_buckets": 8}])
+@pytest.mark.parametrize("bucketing", [{}, {"ranges": 40}, {"ranges": 300}])
 def test_ranking_metrics_and_quantiles(skewed, bucketing):
     df, pdf = skewed
     got = {r.g: r for r in ranking_metrics(df, by=["g"], **bucketing).collect()}
@@ -74,7 +74,7 @@ def _best(y, s, candidates, key):
     return max(rows, key=lambda r: key(*r))
 
 
-@pytest.mark.parametrize("bucketing", [{}, {"cells_per_bucket": 5}])
+@pytest.mark.parametrize("bucketing", [{}, {"ranges": 64}])
 def test_threshold_searches(skewed, bucketing):
     df, pdf = skewed
 
