@@ -101,7 +101,7 @@ class Head(NamedTuple):
     baseline: str
 
 
-HEADS = {(lead, v): Head(f"{lead}_{v}", f"{lead}_{v}_persistence") for lead in LEADS for v in WEATHER_VARIABLES}
+WEATHER_HEADS = {(lead, v): Head(f"{lead}_{v}", f"{lead}_{v}_persistence") for lead in LEADS for v in WEATHER_VARIABLES}
 
 
 def oracle_window(df: DataFrame, horizon: int, features: Iterable[str], panel: Panel) -> tuple[DataFrame, list[str]]:
@@ -169,10 +169,10 @@ def weather_windows(df: DataFrame, rows: int, panel: Panel) -> tuple[DataFrame,
         raise ValueError(f"a history of {rows} days is not among {WEATHER_WINDOWS}")
     w = panel.window()
     lags = {f"{v}_lag_{k}": F.lag(v, k).over(w) for k in range(rows) for v in WEATHER_VARIABLES}
-    leads = {head.target: F.lead(v, LEADS[lead]).over(w) for (lead, v), head in HEADS.items()}
+    leads = {head.target: F.lead(v, LEADS[lead]).over(w) for (lead, v), head in WEATHER_HEADS.items()}
     position = {POSITION: F.row_number().over(w)}
     framed = df.select(*panel.columns, *[c.alias(n) for n, c in {**lags, **leads, **position}.items()])
-    baselines = {head.baseline: F.col(f"{v}_lag_0") for (_, v), head in HEADS.items()}
+    baselines = {head.baseline: F.col(f"{v}_lag_0") for (_, v), head in WEATHER_HEADS.items()}
     samples = (
         framed.where(F.col(POSITION) >= rows)
         .drop(POSITION)

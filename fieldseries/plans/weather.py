@@ -33,7 +33,7 @@ from fieldseries.operators.ranking import weather_leaderboard
 from fieldseries.operators.split import TEST, TRAIN, VALIDATION, split_cuts, split_table, with_split
 from fieldseries.operators.thresholds import blend, search_blend_weight, search_rain_threshold
 from fieldseries.operators.windows import (
-    HEADS,
+    WEATHER_HEADS,
     weather_windows,
 )
 from fieldseries.panel import Panel, check_panel
@@ -53,8 +53,8 @@ def long_heads(samples: DataFrame, keep: list[str], model_of: dict[tuple[str, st
             F.struct(
                 F.lit(lead).alias("lead"),
                 F.lit(variable).alias("variable"),
-                F.col(HEADS[lead, variable].target).cast("double").alias("y_true"),
-                F.col(HEADS[lead, variable].baseline).cast("double").alias("y_baseline"),
+                F.col(WEATHER_HEADS[lead, variable].target).cast("double").alias("y_true"),
+                F.col(WEATHER_HEADS[lead, variable].baseline).cast("double").alias("y_baseline"),
                 model_of[(lead, variable)].cast("double").alias("y_model"),
             )
             for lead, variable in HEADS
@@ -135,7 +135,7 @@ def fit_heads(
         raise ValueError("Train, validation and test samples must be non-empty.")
     scored, used = rows, {}
     for lead, variable in HEADS:
-        target, output = HEADS[lead, variable].target, _head_column(lead, variable)
+        target, output = WEATHER_HEADS[lead, variable].target, _head_column(lead, variable)
         is_rain = variable == RAIN
         if is_rain:
             balance = class_balance(train, target).collect()[0]
