@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldseries.operators.materialize import materialize
@@ -21,6 +21,8 @@ from fieldseries.operators.materialize import materialize
 from .graph import components
 from .textvec import mix, shingle_hashes, slices, word_hashes
 
+#: Classes of hashes in the bits of a set.
+BITS = 512
 #: Members of a bucket that are compared with each other at once; larger buckets are split first.
 SMALL_BUCKET = 8
 
@@ -58,16 +60,24 @@ def signatures(docs: DataFrame, words: int = 5, rows: int = 2, halves: int = 14,
 
 
 def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``shingles``, the sorted 64-bit hashes of the distinct shingles of the whole text."""
+    """``id``, ``shingles`` (sorted 64-bit hashes of the distinct shingles of the whole text) and ``bits``.
+
+    ``bits`` tells, for each of 512 classes of hashes, whether the set has an odd number
+    of them: two sets differ in at least as many shingles as their bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values, bounds = shingle_hashes(*word_hashes(batch.column("text")), words)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "shingles"])
+            rows_of = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            odd = np.bincount(rows_of * BITS + (values >> np.uint64(55)).astype(np.int64), minlength=batch.num_rows * BITS) & 1
+            packed = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(packed) + 1, BITS // 64).astype(np.int32)), pa.array(packed))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, bits], names=["id", "shingles", "bits"])
 
     rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows_in.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, shingles array<long>")
+    return rows_in.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, shingles array<long>, bits array<long>")
 
 
 def table_members(nodes: DataFrame, halves: int) -> DataFrame:
@@ -81,17 +91,24 @@ def table_members(nodes: DataFrame, halves: int) -> DataFrame:
     return lists.select(F.explode(keys).alias("key"), "node")
 
 
+def _may_link(n: Column, n_2: Column, bits: Column, bits_2: Column, percent: int) -> Column:
+    """False only for sets that differ in too many shingles, as their bits already tell."""
+    apart = sum((F.bit_count(F.get(bits, F.lit(k)).bitwiseXOR(F.get(bits_2, F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+    return apart * (100 + percent) <= (n + n_2) * (100 - percent)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u``, ``v`` whose sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
+    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"), F.col("bits").alias("bu"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
-    sizes = sets.select(F.col("id").alias("v"), F.size("shingles").alias("nv"))
+    sizes = sets.select(F.col("id").alias("v"), F.size("shingles").alias("nv"), F.col("bits").alias("bv"))
     both = F.size(F.array_intersect("su", "sv"))
     nu = F.size("su")
     return (
         pairs.join(sizes, "v")
         .join(left, "u")
-        .where(F.least(nu, "nv") * 100 >= F.greatest(nu, "nv") * percent)
+        .where((F.least(nu, "nv") * 100 >= F.greatest(nu, "nv") * percent) & _may_link(nu, F.col("nv"), F.col("bu"), F.col("bv"), percent))
+        .drop("bu", "bv")
         .join(right, "v")
         .where(both * 100 >= (nu + F.size("sv") - both) * percent)
         .select("u", "v")
@@ -105,7 +122,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     their first ``n - ceil(percent * n / 100) + 1``; what follows the first shared one
     limits the intersection. Shingles of one node only take part in the count alone.
     """
-    own = nodes.join(sets.select(F.col("id").alias("node"), "shingles"), "node")
+    own = nodes.join(sets.select(F.col("id").alias("node"), "shingles", "bits"), "node")
     token = own.select("node", F.explode("shingles").alias("token"))
     common = token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     lists = token.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
@@ -113,19 +130,21 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     single = n - F.size("tokens")
     length = n - F.ceil(n * percent / 100).cast("int") + 1 - single
     first = (
-        own.select("node", "comp", "shingles")
+        own.select("node", "comp", "shingles", "bits")
         .join(lists, "node")
         .where(length > 0)
-        .select("node", "comp", n.alias("n"), single.alias("single"), F.posexplode(F.slice("tokens", F.lit(1), length)).alias("i", "t"))
-        .select("node", "comp", "n", (F.col("n") - F.col("single") - F.col("i")).alias("rest"), F.col("t.token").alias("token"))
+        .select("node", "comp", "bits", n.alias("n"), single.alias("single"), F.posexplode(F.slice("tokens", F.lit(1), length)).alias("i", "t"))
+        .select("node", "comp", "bits", "n", (F.col("n") - F.col("single") - F.col("i")).alias("rest"), F.col("t.token").alias("token"))
     )
     first = materialize(first)
     # pairs of a token's largest component are closed: one side is always outside it
     largest = first.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most"))
     outside = first.join(largest.where(F.col("all") > F.col("most")).drop("all", "most"), "token").where("comp <> largest")
-    outside = outside.select("token", *[F.col(c).alias(f"{c}_2") for c in ("node", "comp", "n", "rest")])
+    outside = outside.select("token", *[F.col(c).alias(f"{c}_2") for c in ("node", "comp", "bits", "n", "rest")])
     bound = F.least("rest", "rest_2") * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent
-    pairs = first.join(outside, "token").where((F.col("comp") != F.col("comp_2")) & bound)
+    # the sets' bits refuse most of what the places of shared shingles let through
+    close = _may_link(F.col("n"), F.col("n_2"), F.col("bits"), F.col("bits_2"), percent)
+    pairs = first.join(outside, "token").where((F.col("comp") != F.col("comp_2")) & bound & close)
     return pairs.select(F.least("node", "node_2").alias("u"), F.greatest("node", "node_2").alias("v")).distinct()
 
 
