@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
+from fieldseries.operators.materialize import materialize
+
 #: Pages whose payloads are at least this long refer to an equal one instead of repeating it.
 MIN_REVISIT_BYTES = 100
+#: Revisits of at most this number are broadcast.
+MAX_BROADCAST = 200_000
 #: Bytes of files that one task reads; a larger file is one task.
 GROUP_BYTES = 32_000_000
 _BATCH_BYTES = 4_000_000
@@ -45,9 +49,13 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     digests = rows.select("id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")).where(f"id is not null and n >= {MIN_REVISIT_BYTES}")
     first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    revisits = digests.join(first, "digest").where("id <> first").select("id", "digest", "first").distinct()
-    keyed = rows.withColumn("digest", F.sha2("payload", 256))
-    joined = keyed.join(revisits, ["id", "digest"], "left")
+    revisits = digests.join(first, "digest").where("id <> first").select("id", F.xxhash64("digest").alias("key"), "first").distinct()
+    # three numbers a revisit: few enough go to where the payloads are, more are joined by key
+    revisits = materialize(revisits)
+    if revisits.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        revisits = F.broadcast(revisits)
+    keyed = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("key", F.xxhash64("digest"))
+    joined = keyed.join(revisits, ["id", "key"], "left")
     again = F.col("first").isNotNull()
     url = F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20\\x7f]", "%20")
 
