@@ -21,6 +21,8 @@ from .textvec import mix, slices
 _PRIMES = (np.uint64(2147483647), np.uint64(2147483629))
 _BASES = (1103515245, 1299709421)
 WIDTH, SKETCH = 16, 64
+#: Bytes of text in one set of prefix arrays, which take some twenty times as much.
+_SLICE = 200_000
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64) for _ in range(4)]
 
 
@@ -104,22 +106,22 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _rows(ids: list, texts: list[str], following: list[str]) -> dict:
-    """Result columns for documents and the documents that follow them."""
-    edited = [_edited(t, f) for t, f in zip(texts, following, strict=True)]
-    n = len(texts)
-    table = Prefixes([*texts, *edited, *following])
+def _rows(ids: list, texts: list[str], following: list[int]) -> dict:
+    """Result columns of the documents ``ids``, which are the first of ``texts``; ``following`` says which text follows each."""
+    n = len(ids)
+    edited = [_edited(texts[k], texts[following[k]]) for k in range(n)]
+    table = Prefixes([*texts, *edited])
     forms, sketches = table.fingerprints()
-    at = table.bounds
-    shared = table.common_extension(at[:n], at[n : 2 * n], np.minimum(np.diff(at)[:n], np.diff(at)[n : 2 * n]))
+    own, other = table.bounds[:n], table.bounds[len(texts) :]
+    shared = table.common_extension(own, other[:n], np.minimum(np.diff(table.bounds)[:n], np.diff(other)))
     return {
         "id": ids,
-        "n_chars": [len(t) for t in texts],
+        "n_chars": [len(texts[k]) for k in range(n)],
         "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
         "fingerprint": forms[:n],
-        "edited_fingerprint": forms[n : 2 * n],
-        "near_edited": [likeness(sketches[k], sketches[n + k]) for k in range(n)],
-        "near_next": [likeness(sketches[k], sketches[2 * n + k]) for k in range(n)],
+        "edited_fingerprint": forms[len(texts) :],
+        "near_edited": [likeness(sketches[k], sketches[len(texts) + k]) for k in range(n)],
+        "near_next": [likeness(sketches[k], sketches[following[k]]) for k in range(n)],
         "common_prefix": shared.tolist(),
     }
 
@@ -128,7 +130,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``id_col``, ``n_chars``, ``fingerprint`` of each whole text; null is empty, equal texts have equal fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=_SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(Prefixes(texts).fingerprints()[0])], names=[id_col, "n_chars", "fingerprint"])
 
@@ -156,11 +158,11 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = [], []
-        for batch in slices(batches, most=700_000):
+        for batch in slices(batches, most=_SLICE):
             ids += batch.column("id").to_pylist()
             texts += batch.column("text").to_pylist()
             if len(ids) > 1:
-                yield pa.RecordBatch.from_pydict(_rows(ids[:-1], texts[:-1], texts[1:]), schema=arrow)
+                yield pa.RecordBatch.from_pydict(_rows(ids[:-1], texts, range(1, len(ids))), schema=arrow)
                 ids, texts = ids[-1:], texts[-1:]
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +175,9 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_pydict({"first": [first[0]], "head": [first[1]], "id": [last[0]], "text": [last[1]]}, schema=edge)
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=700_000):
-            yield pa.RecordBatch.from_pydict(_rows(*[batch.column(c).to_pylist() for c in ("id", "text", "head")]), schema=arrow)
+        for batch in slices(batches, most=_SLICE):
+            ids, texts, heads = (batch.column(c).to_pylist() for c in ("id", "text", "head"))
+            yield pa.RecordBatch.from_pydict(_rows(ids, [*texts, *heads], range(len(ids), 2 * len(ids))), schema=arrow)
 
     own = pa.array([], pa.int64()).type if kind == "bigint" else {"int": pa.int32(), "string": pa.string()}[kind]
     fields = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_prefix", pa.int64())]
