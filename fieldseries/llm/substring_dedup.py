@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 
 from fieldseries.operators.materialize import materialize
 
+from .lifetime import short_lived_shuffles
 from .textvec import mix, slices, span_hash, span_sums, text_bytes
 
 #: Bytes of a string that counts as a copy, and of an anchor.
 LENGTH, ANCHOR = 50, 16
 _REACH = LENGTH - ANCHOR  # an anchor is in the strings that start up to so many bytes before it
+#: Of a string over an anchor, so many bytes lie before it, or else as many or more after it.
+_HALF = _REACH // 2
+LEFT, RIGHT = 1, 2
 _FLUSH = 1_000_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -62,15 +66,16 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[list[np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        h, c, doc, row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, c, sides, doc, row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order = np.lexsort((doc, c, h))
-        h, c, doc, row, pos = h[order], c[order], doc[order], row[order], pos[order]
+        h, c, sides, doc, row, pos = (x[order] for x in (h, c, sides, doc, row, pos))
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
         full = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
         # what is settled needs no company: it is dealt out evenly
         h = np.where(full, mix(pos.astype(np.uint64) * np.uint64(31) + doc.view(np.uint64)), h)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(doc), pa.array(row), pa.array(pos), pa.array(full)], names=["h", "c", "doc", "row", "pos", "full"])
+        arrays = [h.view(np.int64), c, np.where(full, np.uint64(0), sides).view(np.int64), doc, row, pos, full]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["h", "c", "sides", "doc", "row", "pos", "full"])
 
     for batch in slices(batches):
         raw, bounds = text_bytes(batch.column("text"))
@@ -79,8 +84,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = np.searchsorted(bounds, at, side="right") - 1
         left, right = np.maximum(at - _REACH, bounds[k]), np.minimum(at + LENGTH, bounds[k + 1])
         c = mix(span_hash(sums, left, right) + (at - left).astype(np.uint64)) >> np.uint64(32)
+        # hashes of the anchor with half the reach on either side; where a side is cut off, of what is there
+        before = span_hash(sums, np.maximum(at - _HALF, left), at + ANCHOR) >> np.uint64(32)
+        after = span_hash(sums, at, np.minimum(at + ANCHOR + _HALF, right)) >> np.uint64(32)
         doc, row = batch.column("doc").to_numpy()[k], batch.column("row").to_numpy()[k]
-        held.append([h, c.astype(np.uint32).view(np.int32), doc, row, (at - bounds[k]).astype(np.int32)])
+        held.append([h, c.astype(np.uint32).view(np.int32), before << np.uint64(32) | after, doc, row, (at - bounds[k]).astype(np.int32)])
         if sum(len(x[0]) for x in held) > _FLUSH:
             yield flush()
     if held:
@@ -92,20 +100,34 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     An anchor with a smaller document before it in its class (h, c) is settled: all
     strings over it are copies. The first of a class has to be looked at where another
-    class of the same anchor has another document. Only the first ones of an anchor seen
-    with one document so far are held over from batch to batch.
+    class of the same anchor has another document and agrees on one side: strings over an
+    anchor reach half of what is left on one side or on the other. ``side`` says on
+    which. Only the first ones of an anchor seen with one document so far are held over
+    from batch to batch; an anchor that goes on in the next batch is looked at on both.
     """
     h0, c0, first0 = None, None, 0  # the class that is open
     low0, high0, classes0, held = 0, 0, 0, None  # the anchor that is open
 
-    def out(doc, row, pos, full) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(row), pa.array(pos), pa.array(np.full(len(doc), full))], names=["doc", "row", "pos", "full"])
+    def out(doc, row, pos, side) -> pa.RecordBatch:
+        sides = np.broadcast_to(np.asarray(side, np.int32), len(doc))
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(row), pa.array(pos), pa.array(np.ascontiguousarray(sides))], names=["doc", "row", "pos", "side"])
+
+    def agreeing(group, half, doc) -> np.ndarray:
+        """Which rows share their anchor and a side of it with another document."""
+        order = np.lexsort((doc, half, group))
+        g, x, d = group[order], half[order], doc[order]
+        new = np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])))
+        at = np.flatnonzero(new)
+        some = d[np.append(at[1:], len(d)) - 1] > d[at]
+        result = np.zeros(len(d), bool)
+        result[order] = some[np.cumsum(new) - 1]
+        return result
 
     for batch in batches:
-        h, c, doc, row, pos, full = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("h", "c", "doc", "row", "pos", "full"))
+        h, c, sides, doc, row, pos, full = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("h", "c", "sides", "doc", "row", "pos", "full"))
         if full.any():
-            yield out(doc[full], row[full], pos[full], True)
-            h, c, doc, row, pos = (x[~full] for x in (h, c, doc, row, pos))
+            yield out(doc[full], row[full], pos[full], 0)
+            h, c, sides, doc, row, pos = (x[~full] for x in (h, c, sides, doc, row, pos))
         if not len(h):
             continue
         new_h = np.concatenate(([h0 is None or h[0] != h0], h[1:] != h[:-1]))
@@ -114,7 +136,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.where(start < 0, first0, doc[start])
         later = doc > first
         if later.any():
-            yield out(doc[later], row[later], pos[later], True)
+            yield out(doc[later], row[later], pos[later], 0)
         # per anchor: how many classes and which documents the first ones have
         group = np.cumsum(new_h) - (0 if not new_h[0] else 1)
         n = group[-1] + 1
@@ -127,11 +149,16 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low[0], high[0], classes[0] = min(low[0], low0), max(high[0], high0), classes[0] + classes0
         mixed = (classes > 1) & (low < high)
         if held is not None and not new_h[0] and mixed[0]:
-            yield out(*held, False)
+            yield out(*held, LEFT | RIGHT)
             held = None
         show = head & mixed[group]
         if show.any():
-            yield out(doc[show], row[show], pos[show], False)
+            g, x = group[show], sides[show].view(np.uint64)
+            side = LEFT * agreeing(g, x >> np.uint64(32), doc[show]) + RIGHT * agreeing(g, x & np.uint64(0xFFFFFFFF), doc[show])
+            open_ends = (g == n - 1) | ((g == 0) & (not new_h[0]))
+            side = np.where(open_ends, LEFT | RIGHT, side)
+            some = side > 0
+            yield out(doc[show][some], row[show][some], pos[show][some], side[some])
         last = head & (group == n - 1)
         if mixed[-1]:
             held = None
@@ -142,12 +169,15 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low0, high0, classes0 = low[-1], high[-1], classes[-1]
 
 
-def _starts(n: int, pos: np.ndarray) -> np.ndarray:
-    """Which strings of a text of n bytes lie over one of the anchors."""
+def _starts(n: int, marks: np.ndarray, side: int = LEFT | RIGHT) -> np.ndarray:
+    """Which strings of a text of n bytes lie over one of the anchors, and reach ``_HALF`` bytes to that side of it."""
     edge = np.zeros(max(0, n - LENGTH + 1) + 1, np.int32)
-    if len(edge) > 1 and len(pos):
-        np.add.at(edge, np.maximum(pos - _REACH, 0), 1)
-        np.add.at(edge, np.minimum(pos, n - LENGTH) + 1, -1)
+    if len(edge) > 1 and len(marks):
+        low = np.maximum(marks - (_REACH if side & LEFT else _HALF), 0)
+        high = np.minimum(marks - (0 if side & RIGHT else _HALF), n - LENGTH)
+        fits = low <= high
+        np.add.at(edge, low[fits], 1)
+        np.add.at(edge, high[fits] + 1, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -164,7 +194,10 @@ def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = [], []
         for k in range(batch.num_rows):
             n = int(bounds[k + 1] - bounds[k])
-            open_ = _starts(n, _lists(batch.column("open"), k)) & ~_starts(n, _lists(batch.column("full"), k))
+            unsettled = np.zeros(max(0, n - LENGTH + 1), bool)
+            for side in (LEFT, RIGHT):
+                unsettled |= _starts(n, _lists(batch.column(f"open_{side}"), k), side)
+            open_ = unsettled & ~_starts(n, _lists(batch.column("full"), k))
             at = np.flatnonzero(open_)
             found.append(at + bounds[k])
             rows.append(np.full(len(at), k))
@@ -204,6 +237,13 @@ def _removal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc"), *out, pa.array(columns["kept_sha256"]), pa.array(columns["kept"], pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _settled(by_doc: DataFrame, strings: DataFrame) -> DataFrame:
+    """Settled anchors and copied strings of each document: the least document of equal strings keeps them."""
+    least = strings.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "least")
+    copied = strings.join(least, "w").where("doc > least").groupBy("doc", "row").agg(F.collect_list("start").alias("found"))
+    return by_doc.select("doc", "row", "full").where(F.size("full") > 0).join(copied, ["doc", "row"], "full_outer")
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (binary) of each row.
 
@@ -224,17 +264,18 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.join(later, ["doc", "t1"], "left").select("doc", "text", F.pmod("t1", F.lit(1 << 31)).cast("int").alias("row"), F.coalesce("copy", F.lit(False)).alias("copy"))
     searched = rows.where(~F.col("copy")).select("doc", "row", "text")
 
-    found = searched.mapInArrow(_anchor_rows, "h long, c int, doc long, row int, pos int, full boolean")
+    found = searched.mapInArrow(_anchor_rows, "h long, c int, sides long, doc long, row int, pos int, full boolean")
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = found.repartition(ranges, "h").sortWithinPartitions("h", "c", "doc")
-    marks = materialize(ordered.mapInArrow(_classes, "doc long, row int, pos int, full boolean"))
-    by_doc = marks.groupBy("doc", "row").agg(
-        F.collect_list(F.when(F.col("full"), F.col("pos"))).alias("full"), F.collect_list(F.when(~F.col("full"), F.col("pos"))).alias("open")
-    )
-    unsettled = by_doc.where(F.size("open") > 0)
-    strings = materialize(searched.join(unsettled, ["doc", "row"]).mapInArrow(_string_rows, "w long, doc long, row int, start int"))
-    least = strings.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "least")
-    copied = strings.join(least, "w").where("doc > least").groupBy("doc", "row").agg(F.collect_list("start").alias("found"))
-    settled = by_doc.select("doc", "row", "full").join(copied, ["doc", "row"], "full_outer")
+    with short_lived_shuffles(spark):
+        marks = materialize(ordered.mapInArrow(_classes, "doc long, row int, pos int, side int"))
+        side = F.col("side")
+        by_doc = marks.groupBy("doc", "row").agg(
+            F.collect_list(F.when(side == 0, F.col("pos"))).alias("full"),
+            *[F.collect_list(F.when(side.bitwiseAND(k) > 0, F.col("pos"))).alias(f"open_{k}") for k in (LEFT, RIGHT)],
+        )
+        unsettled = by_doc.where((F.size(f"open_{LEFT}") > 0) | (F.size(f"open_{RIGHT}") > 0))
+        strings = materialize(searched.join(unsettled, ["doc", "row"]).mapInArrow(_string_rows, "w long, doc long, row int, start int"))
+        settled = materialize(_settled(by_doc, strings))
     out = rows.join(settled, ["doc", "row"], "left").select("doc", "text", "copy", "full", "found").mapInArrow(_removal_rows, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.nullif(F.col("doc"), F.lit(lowest)).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
