@@ -290,6 +290,7 @@ def find_leaks(
     min_common: float = 0.8,
     min_paraphrase: float = 0.6,
     rank: int = 128,
+    max_df: float = 0.05,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -311,7 +312,7 @@ def find_leaks(
     if not bench.items:
         return spark.createDataFrame([], schema)
     tokens = materialize(token_table(docs, bench, id_col, text_col))
-    space = latent_space(tokens, len(bench.vocabulary), rank).astype(np.float32)
+    space = latent_space(tokens, len(bench.vocabulary), rank, max_df=max_df).astype(np.float32)
     vectors = np.stack([space[item].sum(axis=0) for item in bench.items])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     shared = spark.sparkContext.broadcast((space, vectors, bench))
