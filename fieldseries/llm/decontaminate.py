@@ -28,6 +28,7 @@ WINDOW, STEP = 32, 16
 SEGMENT = 8192
 _TOKENS_AT_ONCE = 30_000
 _PAIRS_HELD = 4_000_000
+_PAIRS_IN_TASK = 500_000
 _CHUNK = 256
 
 
@@ -259,6 +260,8 @@ def latent_space(tokens: DataFrame, terms: int, rank: int = 128, oversample: int
     df, n = document_frequencies(tokens, terms)
     weights = np.where((df > 0) & (df <= max(1.0, max_df * n)), np.log((1.0 + n) / (1.0 + df)), 0.0)
     pairs = materialize(cooccurrences(tokens, weights > 0))
+    # each task that multiplies sends a whole matrix of sums, so as few as the pairs need
+    pairs = pairs.coalesce(pairs.count() // _PAIRS_IN_TASK + 1)
     width = min(terms, rank + oversample)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
     q = np.linalg.qr(_times(pairs, weights, q))[0]
