@@ -30,7 +30,8 @@ _REACH = LENGTH - ANCHOR  # an anchor is in the strings that start up to so many
 #: Of a string over an anchor, so many bytes lie before it, or else as many or more after it.
 _HALF = _REACH // 2
 LEFT, RIGHT = 1, 2
-_FLUSH = 1_000_000
+#: Bytes of text, and anchors, that a task holds as number arrays at once.
+_SLICE, _FLUSH = 500_000, 250_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -77,7 +78,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [h.view(np.int64), c, np.where(full, np.uint64(0), sides).view(np.int64), doc, row, pos, full]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["h", "c", "sides", "doc", "row", "pos", "full"])
 
-    for batch in slices(batches):
+    for batch in slices(batches, most=_SLICE):
         raw, bounds = text_bytes(batch.column("text"))
         sums = span_sums(raw.astype(np.uint64) + np.uint64(1))
         at, h = anchors(raw, bounds, sums)
@@ -188,7 +189,7 @@ def _lists(column: pa.Array, k: int) -> np.ndarray:
 
 def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings over unsettled anchors that no settled one covers: hashes, document, start."""
-    for batch in slices(batches):
+    for batch in slices(batches, most=_SLICE):
         raw, bounds = text_bytes(batch.column("text"))
         sums = span_sums(raw.astype(np.uint64) + np.uint64(1))
         found, rows = [], []
@@ -210,7 +211,7 @@ def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _removal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, most=_SLICE):
         raw, bounds = text_bytes(batch.column("text"))
         columns = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         copies = batch.column("copy").to_pylist()
