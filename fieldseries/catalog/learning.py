@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldseries.catalog.fixtures import SITE, site_panel, table
 from fieldseries.catalog.registry import query
 from fieldseries.operators.learners import fit_predict, tune_classifier, with_vector
 from fieldseries.operators.materialize import materialize
+from fieldseries.operators.metrics import ranking_metrics
 from fieldseries.operators.tomek import remove_tomek_links, tomek_links
 from fieldseries.plans.experiments import disease_benchmark, simple_benchmark
 from fieldseries.plans.weather import weather_benchmark
@@ -42,24 +43,21 @@ def tomek_undersampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_tomek_links(embedding_rows(spark, sf_dir), "x", "y", "vec_id").select("vec_id", "y")
 
 
-# -- fits: seeded, checked by row counts and by the tests ---------------------------
-
-QUICK: dict[str, dict] = {
-    "logreg": {"max_iter": 20},
-    "svm": {"max_iter": 10},
-    "rf": {"n_trees": 10, "max_depth": 5},
-    "xgboost": {"n_trees": 5, "max_depth": 3},
-    "lightgbm": {"n_trees": 5, "max_depth": 3},
-    "catboost": {"n_trees": 5, "max_depth": 3},
-}
+# -- fits with their default parameters: SQL knows the rows and what must hold for them ----
 
 
 def quality_rows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Labelled documents in three parts, split by a hash of the id."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 20000.0).alias("size"), F.length("text").alias("length"))
+    """Labelled documents in three parts, split by the last digit of the id."""
+    text, length = F.col("text"), F.greatest(F.length("text"), F.lit(1))
+
+    def share(pattern: str) -> Column:
+        return 1.0 - F.length(F.regexp_replace(text, pattern, "")) / length
+
+    features = {"size": F.log1p(length), "letters": share(r"\p{L}"), "spaces": share(r"\s"), "capitals": share(r"\p{Lu}"), "marks": share(r"[#$%&*!|]")}
+    documents = table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in features.items()])
     rows = table(spark, sf_dir, "labels").join(documents, "doc_id")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(10))
-    rows = materialize(with_vector(rows, ["size", "length"]).withColumn("part", part))
+    part = F.pmod("doc_id", F.lit(10))
+    rows = materialize(with_vector(rows, list(features)).withColumn("part", part))
     return {
         "train": rows.where("part < 6"),
         "validation": rows.where("part in (6, 7)"),
@@ -67,32 +65,49 @@ def quality_rows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+FIT_SQL = """select l.doc_id, l.quality, true as score_in_range, true as decision_follows, true as ranks_training_rows
+  from labels l join documents d on l.doc_id = d.doc_id where l.doc_id % 10 > 7"""
+
+
+def checked_fit(model: str, parts: dict[str, DataFrame], params: dict | None = None) -> DataFrame:
+    """Test rows, and what must hold of any fit: scores are probabilities, decisions follow
+    the chosen threshold, and training rows are ranked better than by chance."""
+    both = parts["test"].withColumn("_test", F.lit(True)).unionByName(parts["train"].withColumn("_test", F.lit(False)))
+    scored, choice = fit_predict(model, parts["train"], both, "quality", parts["validation"], params)
+    scored = materialize(scored.select("doc_id", "quality", "y_score", "y_pred_binary", "_test"))
+    auc = ranking_metrics(scored.where("not _test"), "quality", "y_score").select((F.col("roc_auc") > 0.5).alias("ranks_training_rows"))
+    return scored.where("_test").select(
+        "doc_id",
+        "quality",
+        F.col("y_score").between(0.0, 1.0).alias("score_in_range"),
+        (F.col("y_pred_binary") == (F.col("y_score") >= choice["threshold"]).cast("int")).alias("decision_follows"),
+        auc.scalar().alias("ranks_training_rows"),
+    )
+
+
 def _fit_query(model: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        parts = quality_rows(spark, sf_dir)
-        scored, _ = fit_predict(model, parts["train"], parts["test"], "quality", parts["validation"], QUICK[model])
-        return scored.select("doc_id", "quality", "y_score", "y_pred_binary")
+        return checked_fit(model, quality_rows(spark, sf_dir))
 
     return run
 
 
-for _model in QUICK:
-    query(f"fit_{_model}")(_fit_query(_model))
+# the three boosters are presets of one learner
+for _name, _model in {"logreg": "logreg", "svm": "svm", "rf": "rf", "gbt_depth_4": "xgboost", "gbt_depth_5": "lightgbm", "gbt_depth_6": "catboost"}.items():
+    query(f"fit_{_name}", FIT_SQL)(_fit_query(_model))
 
 
-@query("tuned_logreg")
+@query("tuned_logreg", FIT_SQL)
 def tuned_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = quality_rows(spark, sf_dir)
-    best = tune_classifier("logreg", parts["train"], parts["validation"], "quality", 3, base=QUICK["logreg"])
-    scored, _ = fit_predict("logreg", parts["train"], parts["test"], "quality", parts["validation"], best)
-    return scored.select("doc_id", "quality", "y_score", "y_pred_binary")
+    best = tune_classifier("logreg", parts["train"], parts["validation"], "quality", 10)
+    return checked_fit("logreg", parts, best)
 
 
 @query("disease_benchmark")
 def disease_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = disease_benchmark(
-        materialize(site_panel(spark, sf_dir)), SITE, ["logreg", "simcast", "arima"], variants=["interaction_fe"],
-        fallback=True, params=QUICK,
+        materialize(site_panel(spark, sf_dir)), SITE, ["logreg", "simcast", "arima"], variants=["interaction_fe"], fallback=True
     )
     return out["runs"].drop("seconds")
 
@@ -100,7 +115,7 @@ def disease_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("simple_benchmark")
 def simple_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = materialize(site_panel(spark, sf_dir))
-    return simple_benchmark(panel, SITE, ["logreg", "blitecast"], fallback=True, params=QUICK)["runs"]
+    return simple_benchmark(panel, SITE, ["logreg", "blitecast"], fallback=True)["runs"]
 
 
 @query("weather_benchmark")

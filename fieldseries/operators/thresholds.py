@@ -52,13 +52,17 @@ def _metrics_at(cells: DataFrame, candidates: DataFrame, **bucketing: int) -> Da
     )
 
 
-def score_candidates(cells: DataFrame, **bucketing: int) -> DataFrame:
-    """Distinct scores rounded to 10 places; above 400 of them, 400 even quantiles; and 0.5.
+def score_candidates(cells: DataFrame, max_candidates: int | None = MAX_SCORE_CANDIDATES, **bucketing: int) -> DataFrame:
+    """Distinct scores rounded to 10 places, or that many even quantiles if they are more than ``max_candidates``; and 0.5.
+
+    With None all distinct scores are candidates.
 
     ``cells`` is read several times and should be a written table.
     """
-    most = MAX_SCORE_CANDIDATES
     rounded = cells.select("_g", rounded_half_even(F.col("_v"), 10).alias("_v")).distinct()
+    if max_candidates is None:
+        return rounded.unionByName(cells.select("_g").distinct().select("_g", F.lit(0.5).alias("_v"))).distinct()
+    most = max_candidates
     sizes = materialize(rounded.groupBy("_g").agg(F.count(F.lit(1)).alias("k")))
     few = sizes.where(F.col("k") <= most).select("_g")
     many = sizes.where(F.col("k") > most).select("_g")
@@ -76,18 +80,19 @@ def search_threshold(
     by: Iterable[str] = (),
     min_precision: float = MIN_PRECISION,
     on_empty: str = "default",
+    max_candidates: int | None = MAX_SCORE_CANDIDATES,
     **bucketing: int,
 ) -> DataFrame:
     """Best threshold per group: ``threshold, precision, recall, f1, objective``.
 
     If any candidate reaches ``min_precision``, those compete on recall, then
     precision, F1 and the lowest threshold; otherwise precision comes before
-    recall. Without rows and groups the answer is 0.5, or an error when
+    recall. ``max_candidates`` is the rule of :func:`score_candidates`. Without rows and groups the answer is 0.5, or an error when
     ``on_empty="raise"``.
     """
     by = list(by)
     cells = materialize(_score_cells(df, truth, score, by))
-    rated = _metrics_at(cells, score_candidates(cells, **bucketing), **bucketing)
+    rated = _metrics_at(cells, score_candidates(cells, max_candidates, **bucketing), **bucketing)
     floor_met = F.col("precision") >= min_precision
     order = F.struct(
         floor_met.alias("ok"),

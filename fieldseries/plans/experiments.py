@@ -138,7 +138,7 @@ def disease_benchmark(
             row["n_removed"] = details.pop("n_removed", 0)
             row["best_params"] = json.dumps(details)
         except Exception as exc:  # the grid goes on; the reason stays in the table
-            row["error"] = f"{type(exc).__name__}: {str(exc)[:500]}"
+            row["error"] = f"{type(exc).__name__}: {exc}"
         row["seconds"] = round(time.time() - start, 3)
         runs.append(row)
 

@@ -192,7 +192,7 @@ def weather_benchmark(
                 heads = long_heads(named, keep, {h: F.col(_head_column(*h)) for h in HEADS})
                 decided.append(materialize(blend_and_decide(heads)))
             except Exception as exc:  # the benchmark goes on; the reason stays in the table
-                error = f"{type(exc).__name__}: {str(exc)[:500]}"
+                error = f"{type(exc).__name__}: {exc}"
             notes.append((model, window, round(time.time() - start, 3), error, json.dumps(used)))
     listed = spark.createDataFrame(notes, "model string, window_size int, seconds double, error string, params string")
     split = split_table(df, cuts, split_by)

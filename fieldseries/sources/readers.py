@@ -194,12 +194,15 @@ def weather_panel(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
 
 
 def read_weather(
-    spark: SparkSession, path: str, fmt: str = "csv", year_files: bool = False, panel: Panel = Panel()
+    spark: SparkSession, path: str, fmt: str = "csv", year_files: bool = False, panel: Panel = Panel(), row_cap: int | None = SEASON_ROWS
 ) -> DataFrame:
-    """Weather panel from a flat table, or from per-year files with any 4-digit name."""
+    """Weather panel from a flat table, or from per-year files with any 4-digit name.
+
+    Rows of a year file after the first ``row_cap`` are not part of its season; None reads all.
+    """
     if year_files:
-        raw = cap_rows(scan_year_files(spark, path, "digits"), ["_file"], FILE_ORDER)
-        return weather_panel(raw, panel)
+        raw = scan_year_files(spark, path, "digits")
+        return weather_panel(raw if row_cap is None else cap_rows(raw, ["_file"], FILE_ORDER, row_cap), panel)
     return weather_panel(named_columns(_scan_table(spark, path, fmt), "weather"), panel)
 
 
