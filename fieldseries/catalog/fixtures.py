@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldseries.operators.impute import impute_panel
+from fieldseries.operators.materialize import materialize
 from fieldseries.operators.split import split_cuts, with_split
 from fieldseries.operators.windows import horizon_labels
 from fieldseries.panel import Panel
@@ -158,7 +159,8 @@ FILLED = f"with {PANEL_CTE}, {CUTS_CTE}, {FILL_CTE}"
 
 
 def split_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = site_panel(spark, sf_dir)
+    """The panel with its splits; written once, as cuts, medians and rows are all read from it."""
+    panel = materialize(site_panel(spark, sf_dir))
     return with_split(panel, split_cuts(panel, fallback=True))
 
 

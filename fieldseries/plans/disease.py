@@ -129,7 +129,12 @@ def rule_benchmark(
     fallback: bool = True,
     min_precision: float = MIN_PRECISION,
 ) -> DataFrame:
-    """From a cleaned panel to the test metrics of both rule models."""
+    """From a cleaned panel to the test metrics of both rule models.
+
+    The panel is written once: cuts, medians and rows are read from it, not from the
+    facts that it is made of.
+    """
+    df = materialize(df)
     tagged = with_split(df, split_cuts(df, by=split_by, fallback=fallback), split_by)
     prepared = prepare_features(horizon_labels(tagged, [horizon], panel), panel, horizon, variant)
     scored = rule_scores(prepared, panel, window)

@@ -56,5 +56,9 @@ def test_split_filter_reaches_the_scan(spark, sf_small, panel):
 
 
 def test_raw_scan_is_pruned(spark, sf_small):
-    plan = plan_of(split_panel(spark, sf_small))
+    plan = plan_of(site_panel(spark, sf_small))
     assert "l_extendedprice" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_facts_are_scanned_once_for_cuts_medians_and_rows(spark, sf_small):
+    assert "l_shipdate" not in plan_of(split_panel(spark, sf_small))
