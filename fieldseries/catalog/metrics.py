@@ -14,7 +14,6 @@ from fieldseries.catalog.fixtures import (
     TIED_SCORES,
     event_scores,
     site_panel,
-    split_panel,
     table,
     tied_scores,
 )
@@ -22,6 +21,7 @@ from fieldseries.catalog.registry import query, r6, rounded
 from fieldseries.functions.rules import at_least, clip_by_name
 from fieldseries.operators import metrics as met
 from fieldseries.operators.ranked import exact_quantiles
+from fieldseries.operators.materialize import materialize
 from fieldseries.operators.split import split_cuts, with_split
 from fieldseries.operators.windows import weather_windows
 from fieldseries.plans.weather import HEADS, blend_and_decide, evaluate_heads, long_heads, wide_predictions
@@ -172,8 +172,8 @@ def panel_count_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lag_mean_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads whose model is the mean of the last three days."""
-    samples, _ = weather_windows(split_panel(spark, sf_dir), 7, SITE)
-    panel = site_panel(spark, sf_dir)
+    panel = materialize(site_panel(spark, sf_dir))
+    samples, _ = weather_windows(panel, 7, SITE)
     tagged = with_split(samples, split_cuts(panel, fallback=True)).withColumn("model", F.lit("lag_mean"))
     model_of = {
         (lead, v): (F.col(f"{v}_lag_0") + F.col(f"{v}_lag_1") + F.col(f"{v}_lag_2")) / 3 for lead, v in HEADS

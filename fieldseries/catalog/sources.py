@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +11,20 @@ from fieldseries.catalog.fixtures import PANEL, SITE, site_panel, table
 from fieldseries.catalog.registry import query, r6, rounded
 from fieldseries.catalog.selection import RUNS_SQL, event_runs
 from fieldseries.functions.cleaning import coerce_numeric, rain_flag, repair_numeric
+from fieldseries.operators.materialize import shared_folder
 from fieldseries.panel import panel_violations
 from fieldseries.sources.readers import (
     canonical_days,
     cap_rows,
     panel_keys,
+    read_named,
+    read_weather,
     season_days,
     union_tables,
     weather_panel,
 )
-from fieldseries.sources.sinks import params_json
+from fieldseries.schema import SOURCE_COLUMNS
+from fieldseries.sources.sinks import params_json, write_runs
 
 ROW = "l_orderkey, l_linenumber"
 # Each seventh of the line items gets another kind of hand-typed cell.
@@ -172,3 +178,54 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 def params_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = event_runs(spark, sf_dir).select("run_seq", "model", F.col("run_seq").alias("seq"))
     return params_json(runs, ["model", "seq"])
+
+
+# -- files: what is written is read back by the readers -------------------------------
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+WEATHER_COLUMNS = ("t_min", "t_max", "t_avg", "precipitation", "cloudiness")
+
+
+@query(
+    "flat_weather_read",
+    f"""{PANEL} select site, year, day, {', '.join(r6(c, c) for c in WEATHER_COLUMNS)}, coalesce(is_rain, 0) as is_rain from panel""",
+)
+def flat_weather_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as CSV under hand-written headers, read as a flat weather table."""
+    path = _new_folder(spark)
+    headers = {"t_min": "T min", "t_max": " T-Max", "is_rain": "Is rain", "precipitation_t_gt_10": "Precipitation t>10"}
+    site_panel(spark, sf_dir).withColumnsRenamed(headers).write.option("header", True).csv(path)
+    return rounded(read_weather(spark, path, "csv", panel=SITE).withColumn("site", F.col("site").cast("int")))
+
+
+_NUMBERS = [c for c in SOURCE_COLUMNS if c not in ("year", "day", "target_favorable")]
+
+
+@query(
+    "flat_named_read",
+    f"""{PANEL} select site, year, day, target_favorable, {', '.join(r6(f'cast({c} as double)', c) for c in _NUMBERS)} from panel""",
+)
+def flat_named_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as CSV with decimal commas and a letter for a digit, read by header name."""
+    path = _new_folder(spark)
+    cells = {c: F.translate(F.col(c).cast("decimal(30,12)").cast("string"), ".6", ",б") for c in _NUMBERS}
+    site_panel(spark, sf_dir).withColumns(cells).write.option("header", True).csv(path)
+    read = read_named(spark, path, "csv", panel=SITE).withColumn("site", F.col("site").cast("int"))
+    return rounded(read.select("site", *SOURCE_COLUMNS))
+
+
+@query(
+    "runs_written_twice",
+    f"""{RUNS_SQL} select run_seq, cast(run_seq % 3 as varchar) as run_id, model from runs""",
+)
+def runs_written_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs in partitions by run; writing one run again replaces it and leaves the others."""
+    path = _new_folder(spark)
+    runs = event_runs(spark, sf_dir).select("run_seq", (F.col("run_seq") % 3).cast("string").alias("run_id"), "model")
+    write_runs(runs, path)
+    write_runs(runs.where("run_id = '1'"), path)
+    return spark.read.schema("run_seq long, model string, run_id string").parquet(path).select("run_seq", "run_id", "model")
