@@ -32,7 +32,6 @@ _HALF = _REACH // 2
 LEFT, RIGHT = 1, 2
 #: Bytes of text, and anchors, that a task holds as number arrays at once.
 _SLICE, _FLUSH = 500_000, 250_000
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _sliding(values: np.ndarray, width: int, choose) -> np.ndarray:
@@ -70,12 +69,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c, sides, doc, row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order = np.lexsort((doc, c, h))
-        h, c, sides, doc, row, pos = (x[order] for x in (h, c, sides, doc, row, pos))
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-        full = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+        a, b, d = h[order], c[order], doc[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        full = np.zeros(len(h), bool)
+        full[order] = d > d[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
         # what is settled needs no company: it is dealt out evenly
         h = np.where(full, mix(pos.astype(np.uint64) * np.uint64(31) + doc.view(np.uint64)), h)
-        arrays = [h.view(np.int64), c, np.where(full, np.uint64(0), sides).view(np.int64), doc, row, pos, full]
+        # rows stay in the order of documents, whose ids then compress
+        arrays = [h.view(np.int64), c, np.where(full, 0, sides), doc, row, pos, full]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["h", "c", "sides", "doc", "row", "pos", "full"])
 
     for batch in slices(batches, most=_SLICE):
@@ -86,10 +87,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = np.maximum(at - _REACH, bounds[k]), np.minimum(at + LENGTH, bounds[k + 1])
         c = mix(span_hash(sums, left, right) + (at - left).astype(np.uint64)) >> np.uint64(32)
         # hashes of the anchor with half the reach on either side; where a side is cut off, of what is there
-        before = span_hash(sums, np.maximum(at - _HALF, left), at + ANCHOR) >> np.uint64(32)
-        after = span_hash(sums, at, np.minimum(at + ANCHOR + _HALF, right)) >> np.uint64(32)
+        before = span_hash(sums, np.maximum(at - _HALF, left), at + ANCHOR) >> np.uint64(49)
+        after = span_hash(sums, at, np.minimum(at + ANCHOR + _HALF, right)) >> np.uint64(48)
+        sides = (before << np.uint64(16) | after).astype(np.int32)
         doc, row = batch.column("doc").to_numpy()[k], batch.column("row").to_numpy()[k]
-        held.append([h, c.astype(np.uint32).view(np.int32), before << np.uint64(32) | after, doc, row, (at - bounds[k]).astype(np.int32)])
+        held.append([h, c.astype(np.uint32).view(np.int32), sides, doc, row, (at - bounds[k]).astype(np.int32)])
         if sum(len(x[0]) for x in held) > _FLUSH:
             yield flush()
     if held:
@@ -154,8 +156,8 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
         show = head & mixed[group]
         if show.any():
-            g, x = group[show], sides[show].view(np.uint64)
-            side = LEFT * agreeing(g, x >> np.uint64(32), doc[show]) + RIGHT * agreeing(g, x & np.uint64(0xFFFFFFFF), doc[show])
+            g, x = group[show], sides[show]
+            side = LEFT * agreeing(g, x >> 16, doc[show]) + RIGHT * agreeing(g, x & 0xFFFF, doc[show])
             open_ends = (g == n - 1) | ((g == 0) & (not new_h[0]))
             side = np.where(open_ends, LEFT | RIGHT, side)
             some = side > 0
@@ -265,7 +267,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.join(later, ["doc", "t1"], "left").select("doc", "text", F.pmod("t1", F.lit(1 << 31)).cast("int").alias("row"), F.coalesce("copy", F.lit(False)).alias("copy"))
     searched = rows.where(~F.col("copy")).select("doc", "row", "text")
 
-    found = searched.mapInArrow(_anchor_rows, "h long, c int, sides long, doc long, row int, pos int, full boolean")
+    found = searched.mapInArrow(_anchor_rows, "h long, c int, sides int, doc long, row int, pos int, full boolean")
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = found.repartition(ranges, "h").sortWithinPartitions("h", "c", "doc")
     with short_lived_shuffles(spark):
