@@ -2,7 +2,8 @@
 
 Passages of all documents are weighted by TF-IDF over the benchmark's terms, a
 distributed randomised SVD gives a latent space, windows near an item there are
-candidates, and word-level longest common subsequences and answer checks decide.
+candidates, and so are documents that share enough of an item's words, which no leak
+can lack. Word-level longest common subsequences and answer checks decide.
 """
 
 from __future__ import annotations
@@ -248,16 +249,16 @@ def _times(pairs: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarr
     return out
 
 
-def latent_space(tokens: DataFrame, terms: int, rank: int = 128, oversample: int = 16, max_df: float = 0.05, seed: int = 7) -> np.ndarray:
+def latent_space(tokens: DataFrame, df: np.ndarray, n: int, rank: int = 128, oversample: int = 16, max_df: float = 0.05, seed: int = 7) -> np.ndarray:
     """Terms x rank: each term's place in the latent space, times its inverse document frequency.
 
     Randomised SVD of the TF-IDF vectors of all passages: a random range, one power step,
     then the small problem on that range. Dimensions are divided by their singular values,
     so that what most passages of a language share does not outweigh the rest. Terms of
     more than ``max_df`` of all passages are stop words and weigh nothing here;
-    subsequences count them.
+    shared words and subsequences count them.
     """
-    df, n = document_frequencies(tokens, terms)
+    terms = len(df)
     weights = np.where((df > 0) & (df <= max(1.0, max_df * n)), np.log((1.0 + n) / (1.0 + df)), 0.0)
     pairs = materialize(cooccurrences(tokens, weights > 0))
     # each task that multiplies sends a whole matrix of sums, so as few as the pairs need
@@ -286,6 +287,56 @@ def common_subsequence(item: np.ndarray, sequence: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+@dataclass
+class SharedWords:
+    """Items by term: a segment that leaks item j holds at least ``least[j]`` of the words of j listed here.
+
+    ``items[bounds[t] : bounds[t + 1]]`` are the items with term t, and ``counts`` how often they have it.
+    """
+
+    bounds: np.ndarray
+    items: np.ndarray
+    counts: np.ndarray
+    least: np.ndarray
+
+
+def shared_words(bench: Benchmark, df: np.ndarray, share: float) -> SharedWords:
+    """Lists of terms for the bound: whoever has ``share`` of an item's words lacks few of them.
+
+    The item's most common terms are not listed, as long as they are less than half of the
+    words needed; a segment may have all of them, so they are taken off the bound.
+    """
+    terms, owners, counts, least = [], [], [], []
+    for j, item in enumerate(bench.items):
+        own, n = np.unique(item, return_counts=True)
+        order = np.argsort(-df[own], kind="stable")
+        own, n = own[order], n[order]
+        need = int(np.ceil(share * len(item) - 1e-9))
+        skip = int(np.searchsorted(np.cumsum(n), need / 2, side="left"))
+        terms.append(own[skip:])
+        counts.append(n[skip:])
+        owners.append(np.full(len(own) - skip, j))
+        least.append(need - int(n[:skip].sum()))
+    term, owner, count = (np.concatenate(x) for x in (terms, owners, counts))
+    order = np.argsort(term, kind="stable")
+    bounds = np.searchsorted(term[order], np.arange(len(bench.vocabulary) + 1))
+    return SharedWords(bounds, owner[order], count[order], np.array(least))
+
+
+def sharing(words: SharedWords, segment: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments and items that meet the bound of shared words."""
+    n_terms, n_items = len(words.bounds) - 1, len(words.least)
+    key, n = np.unique(segment * np.int64(n_terms) + term, return_counts=True)
+    t = key % n_terms
+    size = words.bounds[t + 1] - words.bounds[t]
+    at = np.repeat(words.bounds[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    pair = np.repeat(key // n_terms, size) * n_items + words.items[at]
+    common = np.minimum(np.repeat(n, size), words.counts[at])
+    pairs, where = np.unique(pair, return_inverse=True)
+    pairs = pairs[np.bincount(where, weights=common, minlength=len(pairs)) >= words.least[pairs % n_items]]
+    return pairs // n_items, pairs % n_items
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -299,13 +350,17 @@ def find_leaks(
 ) -> DataFrame:
     """One row for each document and item that it leaks: ``id_col``, ``item_id``, ``cosine``, ``common``, ``answer_found``, ``kind``.
 
-    A window whose latent vector has a cosine of ``min_cosine`` or more with an item's is
-    a candidate. ``common`` is the share of the item's words in the longest common
-    subsequence with the window and as many words around it as the item has. From
-    ``min_common`` on it is a copy; from ``min_paraphrase`` on, with all answer words in
-    order, a paraphrase. A null or empty text leaks nothing; an empty table or benchmark
-    gives an empty result. Rows that repeat an id give one row an item; rows with a null
-    id are reported under null. Other columns are not read.
+    A document is a candidate for an item if the latent vector of one of its windows has
+    a cosine of ``min_cosine`` or more with the item's, or if it shares so many of the
+    item's words that it may leak it; the second route misses nothing that the decision
+    accepts, however common or long the item is. ``common`` is the share of the item's
+    words in the longest common subsequence with a window and as many words around it as
+    the item has. From ``min_common`` on it is a copy; from ``min_paraphrase`` on, with
+    all answer words in order, a paraphrase. ``cosine`` is the largest one of the
+    document's windows; it is 0 for an item of stop words only. A null or empty text
+    leaks nothing; an empty table or benchmark gives an empty result. Rows that repeat an
+    id give one row an item; rows with a null id are reported under null. Other columns
+    are not read.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -315,25 +370,22 @@ def find_leaks(
     if not bench.items:
         return spark.createDataFrame([], schema)
     tokens = materialize(token_table(docs, bench, id_col, text_col))
-    space = latent_space(tokens, len(bench.vocabulary), rank, max_df=max_df).astype(np.float32)
+    df, n = document_frequencies(tokens, len(bench.vocabulary))
+    space = latent_space(tokens, df, n, rank, max_df=max_df).astype(np.float32)
     vectors = np.stack([space[item].sum(axis=0) for item in bench.items])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    shared = spark.sparkContext.broadcast((space, vectors, bench))
+    shared = spark.sparkContext.broadcast((space, vectors, bench, shared_words(bench, df, min_paraphrase)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, vectors, bench = shared.value
+        space, vectors, bench, words = shared.value
         heavy = np.abs(space).sum(axis=1) > 0
-        sizes = np.array([len(x) for x in bench.items])
-        holds = np.zeros((len(bench.items), len(bench.vocabulary)), bool)
-        for j, item in enumerate(bench.items):
-            holds[j, item] = True
+        in_item = np.zeros(len(bench.vocabulary), bool)
         for part, segment, pos, term in _parts(batches):
             ids, own = part.column("id"), part.column("own").to_numpy()
+            bounds = np.searchsorted(segment, np.arange(part.num_rows + 1))
             use = heavy[term]
             block = segment[use] * np.int64(4 * SEGMENT) + pos[use] // STEP
             starts = _runs(block)
-            if not len(starts):
-                continue
             sums = _sums(space, term[use], starts)
             at, seg, first = block[starts], segment[use][starts], pos[use][starts] // STEP * STEP
             windows = sums.copy()
@@ -343,32 +395,39 @@ def find_leaks(
             likeness = windows @ vectors.T
             w, item = np.nonzero(likeness >= min_cosine)
             mine = first[w] < own[seg[w]]
-            w, item = w[mine], item[mine]
-            # each candidate's surroundings, as places among the part's tokens
-            place = segment * np.int64(1 << 32) + pos
-            base = seg[w] * np.int64(1 << 32) + first[w]
-            low = np.searchsorted(place, np.maximum(base - sizes[item], seg[w] * np.int64(1 << 32)))
-            high = np.searchsorted(place, base + WINDOW + sizes[item])
-            rows: dict[tuple[int, int], list] = {}
-            for k, j, a, b in zip(w.tolist(), item.tolist(), low.tolist(), high.tolist(), strict=True):
-                region, size = term[a:b], len(bench.items[j])
-                # no subsequence is longer than the words that the item has at all
-                if np.count_nonzero(holds[j][region]) < min_paraphrase * size:
-                    continue
-                common = common_subsequence(bench.items[j], region) / size
-                if common < min_paraphrase:
+            near = seg[w[mine]], item[mine]
+            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(near, sharing(words, segment, term), strict=True)], axis=1), axis=0)
+            rows = []
+            for k, j in pairs.tolist():
+                item, answer = bench.items[j], bench.answers[j]
+                size = len(item)
+                # words that neither the item nor its answer has change no subsequence
+                in_item[item] = in_item[answer] = True
+                a, b = bounds[k], bounds[k + 1]
+                keep = in_item[term[a:b]]
+                in_item[item] = in_item[answer] = False
+                place, t = pos[a:b][keep], term[a:b][keep]
+                # no window has a longer one than the whole segment
+                if common_subsequence(item, t) < min_paraphrase * size:
                     continue
-                answer = bench.answers[j]
-                found = common_subsequence(answer, region) == len(answer)
-                if common >= min_common or found:
-                    key = (int(seg[k]), j)
-                    best = rows.get(key, [0.0, 0.0, False])
-                    rows[key] = [max(best[0], float(likeness[k, j])), max(best[1], common), best[2] or found]
+                window = np.arange(0, own[k], STEP)
+                low, high = np.searchsorted(place, window - size), np.searchsorted(place, window + WINDOW + size)
+                best, has = 0.0, False
+                for x, y in np.unique(np.stack([low, high], axis=1)[high - low >= min_paraphrase * size], axis=0).tolist():
+                    common = common_subsequence(item, t[x:y]) / size
+                    if common < min_paraphrase:
+                        continue
+                    found = common_subsequence(answer, t[x:y]) == len(answer)
+                    if common >= min_common or found:
+                        best, has = max(best, common), has or found
+                if best:
+                    x, y = np.searchsorted(seg, [k, k + 1])
+                    cosine = likeness[x:y, j][first[x:y] < own[k]]
+                    rows.append((k, j, float(cosine.max(initial=0.0)), best, has))
             if rows:
-                keys = list(rows)
-                values = list(rows.values())
+                k, j, *values = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([s for s, _ in keys], pa.int64())), pa.array([bench.ids[j] for _, j in keys]), *[pa.array([v[i] for v in values]) for i in range(3)], pa.array(["copy" if v[1] >= min_common else "paraphrase" for v in values])],
+                    [ids.take(pa.array(k, pa.int64())), pa.array([bench.ids[x] for x in j]), *[pa.array(v) for v in values], pa.array(["copy" if x >= min_common else "paraphrase" for x in values[1]])],
                     names=[id_col, "item_id", "cosine", "common", "answer_found", "kind"],
                 )
 

@@ -197,6 +197,16 @@ def test_leaks_copies_paraphrases_and_clean_documents(spark):
     assert sum((100 + k, k) in found for k in range(20)) >= 12
 
 
+def test_leaks_of_an_item_in_a_third_of_the_documents(spark):
+    rng = random.Random(4)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    items = [[rng.choice(vocabulary) for _ in range(35)] for _ in range(10)]
+    rows = [(k, " ".join([rng.choice(vocabulary) for _ in range(12)] + (items[0] if k % 3 == 0 else []) + [rng.choice(vocabulary) for _ in range(13)])) for k in range(300)]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = decontaminate.find_leaks(table(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in found) == [(k, 0, "copy") for k in range(0, 300, 3)]
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
