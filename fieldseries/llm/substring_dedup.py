@@ -74,9 +74,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.zeros(len(h), bool)
         full[order] = d > d[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
         # what is settled needs no company: it is dealt out evenly
-        h = np.where(full, mix(pos.astype(np.uint64) * np.uint64(31) + doc.view(np.uint64)), h)
+        h = np.where(full, mix(pos.astype(np.uint64) * np.uint64(31) + doc.view(np.uint64)).astype(np.uint32), h)
         # rows stay in the order of documents, whose ids then compress
-        arrays = [h.view(np.int64), c, np.where(full, 0, sides), doc, row, pos, full]
+        arrays = [h.view(np.int32), c, np.where(full, 0, sides), doc, row, pos, full]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["h", "c", "sides", "doc", "row", "pos", "full"])
 
     for batch in slices(batches, most=_SLICE):
@@ -85,13 +85,15 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, h = anchors(raw, bounds, sums)
         k = np.searchsorted(bounds, at, side="right") - 1
         left, right = np.maximum(at - _REACH, bounds[k]), np.minimum(at + LENGTH, bounds[k + 1])
-        c = mix(span_hash(sums, left, right) + (at - left).astype(np.uint64)) >> np.uint64(32)
+        # all of c is kept, for it settles anchors unseen; half of h is enough to bring them together.
+        # Its lower half: anchors are those of least hash
+        c = mix(span_hash(sums, left, right) + (at - left).astype(np.uint64))
         # hashes of the anchor with half the reach on either side; where a side is cut off, of what is there
         before = span_hash(sums, np.maximum(at - _HALF, left), at + ANCHOR) >> np.uint64(49)
         after = span_hash(sums, at, np.minimum(at + ANCHOR + _HALF, right)) >> np.uint64(48)
         sides = (before << np.uint64(16) | after).astype(np.int32)
         doc, row = batch.column("doc").to_numpy()[k], batch.column("row").to_numpy()[k]
-        held.append([h, c.astype(np.uint32).view(np.int32), sides, doc, row, (at - bounds[k]).astype(np.int32)])
+        held.append([h.astype(np.uint32), c.view(np.int64), sides, doc, row, (at - bounds[k]).astype(np.int32)])
         if sum(len(x[0]) for x in held) > _FLUSH:
             yield flush()
     if held:
@@ -267,7 +269,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.join(later, ["doc", "t1"], "left").select("doc", "text", F.pmod("t1", F.lit(1 << 31)).cast("int").alias("row"), F.coalesce("copy", F.lit(False)).alias("copy"))
     searched = rows.where(~F.col("copy")).select("doc", "row", "text")
 
-    found = searched.mapInArrow(_anchor_rows, "h long, c int, sides int, doc long, row int, pos int, full boolean")
+    found = searched.mapInArrow(_anchor_rows, "h int, c long, sides int, doc long, row int, pos int, full boolean")
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = found.repartition(ranges, "h").sortWithinPartitions("h", "c", "doc")
     with short_lived_shuffles(spark):

@@ -6,6 +6,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +135,25 @@ def test_substring_dedup_equals_brute_force(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute_removal(rows)
 
 
+def test_surroundings_of_one_anchor_are_told_apart():
+    """300,000 different surroundings of one anchor make as many classes: 32 bits of hash are too few."""
+    rng = np.random.default_rng(2)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    some = letters[rng.integers(0, 26, 1_000_000)]
+    sums = substring_dedup.span_sums(some.astype(np.uint64) + np.uint64(1))
+    place = np.arange(len(some) - 16)
+    least = int(np.argmin(substring_dedup.span_hash(sums, place, place + 16)))
+    raw = letters[rng.integers(0, 26, (300_000, 84))]
+    raw[:, 34:50] = some[least : least + 16]
+    texts = [x.tobytes().decode() for x in raw]
+    assert len(set(texts)) == 300_000
+    ids = pa.array(np.arange(300_000))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(np.zeros(300_000, np.int32)), pa.array(texts)], names=["doc", "row", "text"])
+    found = pa.Table.from_batches(substring_dedup._anchor_rows(iter([batch])))
+    over = found.filter(pc.equal(found["pos"], 34))
+    assert over.num_rows > 299_000 and len(pc.unique(over["c"])) == over.num_rows
+
+
 def test_fingerprints_of_edits(spark, sample, texts):
     ids = sorted(texts)
     found = {r.doc_id: r for r in fingerprint.compare_edits(sample).collect()}
