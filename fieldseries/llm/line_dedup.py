@@ -39,7 +39,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, i
         .where(F.length("_line") >= min_chars)
         .withColumn("_key", line_key(F.col("_line")))
         .where(F.length("_key") >= min_chars)
-        .select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64("_key", F.lit(1)).alias("_h2"))
+        .select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
     )
     # one row for each key and document first, so that a key in most documents is summed in parts
     common = (

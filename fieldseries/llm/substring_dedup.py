@@ -262,7 +262,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     lowest = -(1 << 63)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
     first = rows.groupBy("t1", "t2").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1").select("t1", "t2", "first")
     later = rows.select("doc", "t1", "t2").join(first, ["t1", "t2"]).where("doc > first").select("doc", "t1").distinct()
     later = materialize(later.withColumn("copy", F.lit(True)))

@@ -359,6 +359,13 @@ def test_lines_common_to_many_documents(spark):
     assert found[5].text == rows[5][1] and found[9].text == "" and found[9].n_lines == 1
 
 
+def test_second_hashes_do_not_follow_from_the_first(spark):
+    """Spark seeds each column's hash with the one before: a constant has to come first."""
+    for fn in (line_dedup.drop_common_lines, substring_dedup.drop_repeats):
+        plan = fn(table(spark, [(1, "x" * 60)]))._jdf.queryExecution().analyzed().toString()
+        assert "xxhash64(1, " in plan and not re.search(r"xxhash64\([^()]*(\([^()]*\))?[^()]*, 1, 42", plan)
+
+
 def test_archives_round_trip_and_pushed_predicates(spark, tmp_path):
     big = "<p>" + "ä\r\n\r\nWARC/1.1\r\n" * 5000
     rows = [(1, "http://a/x y", big), (2, "http://b/", None), (3, None, big), (4, "http://c/\n", ""), (5, "http://d/", "short"), (6, "http://e/", "short"), (None, None, big)]
