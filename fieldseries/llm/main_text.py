@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .textvec import slices
 
-#: Elements whose content is never text of the page.
-UNSEEN = "script style noscript template iframe svg math object canvas video audio head select textarea button".split()
+#: Elements whose content is never text of the page. Tags mean nothing in raw ones, which run to the end of the page
+#: if they are not closed; the others hide only what their end tag closes. What a head shows is its title.
+RAW = "script style iframe textarea".split()
+UNSEEN = frozenset("noscript template svg math object canvas video audio select button".split())
 #: Elements that start and end a block of text.
 BLOCKS = frozenset(
     "html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -41,7 +43,7 @@ WEIGHTS = {"bias": -0.6, "words": 0.55, "sentence": 0.8, "links": -3.0, "heading
 ADJACENT, SIBLING = 0.4, 0.6
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(UNSEEN) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<title(?=[\s/>])[^>]*>.*?(?:</title\s*>|(?=</?(?:head|body|meta|link|base)[\s/>])|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -60,6 +62,46 @@ class Block:
     hidden: bool
 
 
+def hidden_spans(tokens: list[re.Match]) -> dict[int, int]:
+    """Numbers of the start tags of unseen elements, and of the tags up to which they hide.
+
+    An end tag closes what is open inside its element. An unseen element closed that way,
+    by the next select or button, or by nothing, has no end tag: it hides nothing, or its
+    label, up to the next block, if it is a select or button.
+    """
+    spans: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}
+    for i, m in enumerate(tokens):
+        tag = (m[3] or "").lower()
+        if tag not in UNSEEN and tag not in BLOCKS:
+            continue
+        if m[2]:
+            if open_.get(tag):
+                while True:
+                    last, k = stack.pop()
+                    open_[last] -= 1
+                    if last == tag:
+                        break
+                if tag in UNSEEN:
+                    spans[k] = i
+        elif not (tag in _VOID or m[4].endswith("/")):
+            if tag in ("select", "button") and open_.get(tag):
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
+                del stack[k]
+                open_[tag] -= 1
+            stack.append((tag, i))
+            open_[tag] = open_.get(tag, 0) + 1
+    following = None
+    for i in range(len(tokens) - 1, -1, -1):
+        tag = (tokens[i][3] or "").lower()
+        if tag in BLOCKS:
+            following = i
+        elif tag in ("select", "button") and not tokens[i][2] and i not in spans and following is not None:
+            spans[i] = following
+    return spans
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of visible text in page order, with their place in the tree.
 
@@ -90,10 +132,16 @@ def blocks(page: str) -> list[Block]:
             if link_depth:
                 linked += len(piece)
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
+    at, skip = 0, -1
+    tokens = list(_TOKEN.finditer(page))
+    spans = hidden_spans(tokens)
+    for i, m in enumerate(tokens):
+        if i > skip:
+            add(page[at : m.start()])
         at = m.end()
+        if i < skip:
+            continue
+        skip = spans.get(i, skip)
         tag = (m[3] or "").lower()
         if not tag:
             continue

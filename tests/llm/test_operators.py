@@ -311,6 +311,22 @@ def test_main_text_of_pages(spark, sf_small):
     assert main_text.extract(odd).columns == ["page_id", "text", "n_chars"] and main_text.extract(odd).count() == 4
 
 
+def test_main_text_after_unseen_elements_without_end_tags():
+    article = "<article><p>First text of it, long enough.</p><p>Second text of it, long enough.</p></article>"
+    expected = "First text of it, long enough.\nSecond text of it, long enough."
+    for page in (
+        f"<html><head><title>x</title><body>{article}</body></html>",
+        f"<html><head><title>x<body>{article}</body></html>",
+        f"<body><svg viewBox='0 0 1 1'/>{article}</body>",
+        f"<body><math/>{article}</body>",
+        f"<body><div><button>Menu</div>{article}</body>",
+        f"<body><div><button>Menu</div>{article}<div><button>More</button></div></body>",
+        f"<body><div><video src=a></div>{article}</body>",
+        f"<body><svg><g><path d='M0 0'/><text>No</text></g></svg><video><p>Your browser plays no video, sadly for all.</p></video>{article}</body>",
+    ):
+        assert main_text.main_text(page) == expected, page
+
+
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
