@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldseries.operators.materialize import shared_folder
 
-from . import byte_bpe, decontaminate, fingerprint, language, line_dedup, main_text, near_dedup, pii, substring_dedup, warc
+from . import byte_bpe, decontaminate, fingerprint, language, line_dedup, main_text, merkle, near_dedup, pii, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,11 @@ def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_substrings")
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+@query("op13_merkle")
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    found = F.struct(*[F.col(c) for c in fields[:-1]], merkle.deleted_newlines().alias("text"))
+    return merkle.manifest(docs, fields, "doc_id", "source", found)
