@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldseries.operators.materialize import shared_folder
 
-from . import byte_bpe, decontaminate, fingerprint, language, line_dedup, main_text, merkle, near_dedup, pii, substring_dedup, warc
+from . import byte_bpe, decontaminate, fingerprint, hard_negatives, language, line_dedup, main_text, merkle, near_dedup, pii, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,32 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     found = F.struct(*[F.col(c) for c in fields[:-1]], merkle.deleted_newlines().alias("text"))
     return merkle.manifest(docs, fields, "doc_id", "source", found)
+
+
+NEGATIVES_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+c as (select vec_id, unnest(e) as x, generate_subscripts(e, 1) as i from v),
+a as (select * from v where vec_id % 100 = 0),
+ac as (select c.* from c where vec_id in (select vec_id from a)),
+dot as (select ac.vec_id as anchor_id, c.vec_id as other_id, sum(ac.x * c.x) as score from ac join c on ac.i = c.i group by 1, 2),
+s as (select a.vec_id as anchor_id, v.vec_id as other_id, a.label = v.label as same, coalesce(dot.score, 0)::bigint as score
+      from a cross join v left join dot on dot.anchor_id = a.vec_id and dot.other_id = v.vec_id),
+p as (select anchor_id, other_id as positive_id, score as positive_score from (
+        select *, row_number() over (partition by anchor_id order by score desc, other_id) as r
+        from s where same and other_id <> anchor_id) where r <= 5),
+n as (select p.anchor_id, p.positive_id, p.positive_score, s.other_id as negative_id, s.score as negative_score,
+             row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id) as rank
+      from p join s on s.anchor_id = p.anchor_id and not s.same
+      where 80 * p.positive_score <= 100 * s.score and s.score <= p.positive_score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
