@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldseries.operators.materialize import shared_folder
 
-from . import byte_bpe, decontaminate, fingerprint, hard_negatives, language, line_dedup, main_text, merkle, near_dedup, pii, substring_dedup, warc
+from . import byte_bpe, decontaminate, fingerprint, hard_negatives, language, line_dedup, main_text, merkle, near_dedup, pii, rlz_dedup, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -190,3 +190,25 @@ select anchor_id, positive_id, rank::integer as rank, negative_id, positive_scor
 @query("op12_hard_negatives", NEGATIVES_SQL)
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+_FOLLOWING = ", ".join(f"lead(word, {k}) over o" for k in range(1, rlz_dedup.WINDOW))
+RLZ_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as l from documents),
+x as (select doc_id, unnest(l) as word, generate_subscripts(l, 1) as i from w),
+k as (select doc_id, i, word, case when lead(word, 12) over o is not null then concat_ws(' ', word, FOLLOWING) end as win
+      from x window o as (partition by doc_id order by i)),
+f as (select win, min(doc_id) as first from k where win is not null group by win),
+m as (select k.*, coalesce(f.first < k.doc_id, false) as dup from k left join f using (win)),
+c as (select *, max(case when dup then i end) over (partition by doc_id order by i rows between unbounded preceding and current row) as last_dup from m),
+g as (select doc_id, i, word, coalesce(last_dup >= i - 12, false) as gone from c)
+select d.doc_id, count(g.i) as n_words, count(g.i) filter (where g.gone) as n_removed,
+       sha256(coalesce(string_agg(g.word, ' ' order by g.i) filter (where not g.gone), '')) as kept_sha256
+from documents d left join g on g.doc_id = d.doc_id group by d.doc_id
+""".replace("FOLLOWING", _FOLLOWING)
+
+
+@query("op11_rlz_dedup", RLZ_SQL)
+def op11_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rlz_dedup.drop_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
