@@ -5,30 +5,33 @@ ties to the lower id); no pair leaves a task, only the best one per row:
 
 1. identical vectors are grouped first. Only their two lowest ids can be each
    other's neighbour, so a third of all rows being copies costs one vector;
-2. the distinct vectors are projected on one direction and cut into blocks of
-   bounded size along it. The gap between projections never exceeds the
-   distance, so it is a lower bound;
-3. inside its block each row finds a first neighbour, an upper bound;
-4. each row then visits only the blocks whose interval is nearer than that
-   bound. A block with many visitors is copied to several tasks, so a task
-   never holds more than one block and one batch of visitors.
+2. the distinct vectors form a metric tree of balls (centre, radius), kept as
+   tables: a node is split by two far-apart pivots until leaves are of bounded
+   size, and inner balls cover their children's;
+3. inside its leaf each row finds a first neighbour, an upper bound;
+4. each leaf descends the tree and keeps only the leaves whose balls the
+   triangle inequality cannot rule out; each row then visits those of them
+   whose ball is within its own bound. A leaf with many visitors is copied to
+   several tasks, so a task never holds more than one leaf and one batch of
+   visitors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldseries.operators.materialize import materialize
-from fieldseries.operators.ranked import bisect_right
 
 BLOCK_ROWS = 4096
 VISITOR_ROWS = 8192
-MAX_BLOCKS = 200_000
+MAX_DEPTH = 60
+#: Node tables up to this many rows are broadcast to the points (about 10 MB at 64 dimensions).
+BROADCAST_NODES = 20_000
 # Distances are compared on squared values rounded to this many places.
 PLACES = 9
 # Slack of the pruning bound, far above the rounding of projections.
@@ -73,72 +76,133 @@ def _block_search(groups: pd.DataFrame) -> pd.DataFrame:
 _FOUND = "_id long, _d double, _nn long"
 
 
-def _project(points: DataFrame) -> DataFrame:
-    """Coordinate along the direction of most variance, of unit length."""
-    vectors = points.withColumn("_vec", array_to_vector("_x"))
-    model = PCA(k=1, inputCol="_vec", outputCol="_pc").fit(vectors)
-    direction = model.pc.toArray()[:, 0]
-    direction = [float(v) for v in direction / np.linalg.norm(direction)]
-    return model.transform(vectors).select(
-        *points.columns,
-        (F.get(vector_to_array("_pc"), F.lit(0)) / F.lit(float(np.linalg.norm(direction)))).alias("_p"),
-    )
+def _dist(a: Column, b: Column) -> Column:
+    """Euclidean distance of two arrays of equal length."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda acc, t: acc + t))
+
+
+def _attach(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join a table of nodes to the rows: broadcast while it is counted below ``BROADCAST_NODES`` rows.
+
+    Upper nodes hold many rows each (the root all of them) and are few; when nodes are many
+    they are small on average, and the join is an ordinary one of two written tables.
+    """
+    small = materialize(small)
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_NODES else small, on, how)
+
+
+def build_tree(points: DataFrame, leaf_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """A ball tree of ``(_id, _x)`` as two tables: ``(_id, _x, _node)`` per point and ``(_node, _c, _r, _n, _leaf)`` per node.
 
+    Nodes are numbered as in a heap (root 1, children 2k and 2k+1). A node of more than
+    ``leaf_rows`` points is split by two pivots: the point of least hash, and the point
+    farthest from it; each point goes to the nearer pivot (ties to the first). Every split
+    moves at least one point, so leaves hold at most ``leaf_rows`` points. A node's ball is
+    the mean of its points and a radius covering them all (for inner nodes from their
+    children's balls). Vectors must be distinct and of one length.
+    """
+    pts = materialize(points.select("_id", "_x", F.lit(1).cast("long").alias("_node")))
+    depth = 0
+    while True:
+        first = pts.groupBy("_node").agg(F.min_by("_x", F.struct(F.xxhash64("_id"), F.col("_id"))).alias("_a"), F.count(F.lit(1)).alias("_n"))
+        first = first.where(F.col("_n") > leaf_rows).select("_node", "_a")
+        if first.isEmpty():
+            break
+        if depth >= MAX_DEPTH:
+            raise ValueError(f"The tree is deeper than {MAX_DEPTH} levels")
+        with_a = _attach(pts, first, "_node")
+        far = with_a.groupBy("_node").agg(F.max_by("_x", F.struct(_dist("_x", "_a"), F.col("_id"))).alias("_b"))
+        pivots = first.join(far, "_node")
+        placed = _attach(pts, pivots, "_node", "left")
+        child = F.when(F.col("_a").isNull(), F.col("_node")).otherwise(
+            2 * F.col("_node") + (_dist("_x", "_b") < _dist("_x", "_a")).cast("long")
+        )
+        pts = materialize(placed.select("_id", "_x", child.alias("_node")))
+        depth += 1
+
+    vec = array_to_vector("_x")
+    leaves = pts.groupBy("_node").agg(Summarizer.mean(vec).alias("_mean"), F.count(F.lit(1)).alias("_n"))
+    leaves = materialize(leaves.select("_node", vector_to_array("_mean").alias("_c"), "_n"))
+    radius = _attach(pts, leaves.select("_node", "_c"), "_node").groupBy("_node").agg(F.max(_dist("_x", "_c")).alias("_r"))
+    nodes = materialize(leaves.join(radius, "_node").withColumn("_leaf", F.lit(True)))
+    # inner balls, deepest level first: weighted mean of the children, radius over the children's balls
+    level = F.floor(F.log2(F.col("_node"))).cast("int")
+    top = nodes.agg(F.max(level)).first()[0]
+    for lv in range(top, 0, -1):
+        kids = nodes.where(level == lv).withColumn("_up", F.floor(F.col("_node") / 2))
+        mean = kids.groupBy("_up").agg(
+            Summarizer.mean(array_to_vector("_c"), F.col("_n").cast("double")).alias("_mean"), F.sum("_n").alias("_n")
+        )
+        mean = mean.select(F.col("_up").alias("_node"), vector_to_array("_mean").alias("_c"), "_n")
+        spread = kids.join(mean.select(F.col("_node").alias("_up"), F.col("_c").alias("_pc")), "_up")
+        spread = spread.groupBy("_up").agg(F.max(_dist("_c", "_pc") + F.col("_r")).alias("_r"))
+        inner = mean.join(spread.withColumnRenamed("_up", "_node"), "_node").withColumn("_leaf", F.lit(False))
+        nodes = materialize(nodes.unionByName(inner))
+    return pts, nodes
 
-def _blocks(points: DataFrame, block_rows: int) -> tuple[DataFrame, list[float], list[float]]:
-    """Assign blocks along ``_p``: sorted rows, block number = rank / block_rows.
 
-    Ranks come from range partitions of the projection: a count per partition
-    gives the offsets, so there is no global sort in one task. Returns the rows
-    with ``_b`` and the interval of each block.
+def leaf_pairs(nodes: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``(_a, _b)``: leaves ``_b`` that may hold the neighbour of a point of leaf ``_a``.
+
+    ``bounds`` gives each leaf ``_a`` a distance ``_u`` that none of its points' neighbours
+    exceeds. Each leaf descends the tree from the root and keeps a node while the gap
+    between the two balls, ``|c_a - c_n| - r_a - r_n``, is within ``_u``.
     """
-    spark = points.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = materialize(points.repartitionByRange(n_parts, "_p", "_id").withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = [], 0
-    for part in range(n_parts):
-        offsets.append(total)
-        total += counts.get(part, 0)
-    if total / block_rows > MAX_BLOCKS:
-        raise ValueError(f"More than {MAX_BLOCKS} blocks; raise block_rows")
-    start = F.array(*[F.lit(o).cast("long") for o in offsets])
-    inside = Window.partitionBy("_part").orderBy("_p", "_id")
-    ranked = parts.withColumn("_rank", F.get(start, F.col("_part")) + F.row_number().over(inside) - 1)
-    blocked = materialize(ranked.withColumn("_b", F.floor(F.col("_rank") / block_rows).cast("int")).drop("_part", "_rank"))
-    edges = blocked.groupBy("_b").agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).orderBy("_b").collect()
-    return blocked, [r["lo"] for r in edges], [r["hi"] for r in edges]
-
-
-def nearest_neighbors(points: DataFrame, block_rows: int = BLOCK_ROWS, visitor_rows: int = VISITOR_ROWS) -> DataFrame:
-    """Nearest other row of each row of ``(_id long, _x array<double>)``.
-
-    The vectors must be distinct. Result: ``_id, _d`` (squared distance) and
-    ``_nn``, the id of the neighbour; a single row has no neighbour.
+    children = nodes.select(F.floor(F.col("_node") / 2).alias("_node"), F.col("_node").alias("_child"), F.col("_c").alias("_cc"), F.col("_r").alias("_rc"), "_leaf")
+    frontier = bounds.select("_a", "_ca", "_ra", "_u", F.lit(1).cast("long").alias("_node"))
+    found = []
+    while True:
+        step = _attach(frontier, children, "_node")
+        gap = _dist("_ca", "_cc") - F.col("_ra") - F.col("_rc")
+        step = materialize(step.where(gap <= F.col("_u") * (1 + SLACK) + SLACK))
+        found.append(step.where("_leaf").select("_a", F.col("_child").alias("_b")))
+        frontier = step.where(~F.col("_leaf")).select("_a", "_ca", "_ra", "_u", F.col("_child").alias("_node"))
+        if frontier.isEmpty():
+            break
+    # a root that is a leaf has no children: one leaf, no pairs
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.where(F.col("_a") != F.col("_b"))
+
+
+def nearest_neighbors(points: DataFrame, block_rows: int = BLOCK_ROWS, visitor_rows: int = VISITOR_ROWS, report: dict | None = None) -> DataFrame:
+    """Nearest other row of each row of ``(_id long, _x array<double>)``, exact, over a ball tree.
+
+    The vectors must be distinct. Result: ``_id, _d`` (squared distance) and ``_nn``, the id
+    of the neighbour (ties to the lower id); a single row has no neighbour. Each leaf of at
+    most ``block_rows`` points searches itself first; its points then visit only the leaves
+    that the triangle inequality cannot rule out, first for the leaf as a whole, then for
+    each point. A leaf with many visitors is copied to several tasks, so a task never holds
+    more than one leaf and ``visitor_rows`` visitors. ``report``, if given, receives the
+    number of leaves and of leaf pairs visited.
     """
-    blocked, lows, highs = _blocks(_project(points), block_rows)
-    # A block searches itself first; it is bounded, so one group is one task.
+    pts, nodes = build_tree(points, block_rows)
+    blocked = pts.select("_id", "_x", F.col("_node").alias("_b"))
     own = materialize(
         blocked.select("_b", "_id", "_x", F.explode(F.array(F.lit(False), F.lit(True))).alias("visitor"))
         .groupBy("_b")
         .applyInPandas(_block_search, _FOUND)
     )
-    edges = blocked.sparkSession.createDataFrame([(lows, highs)], "lows array<double>, highs array<double>")
-    bound = F.sqrt("_d") * (1 + SLACK) + SLACK
-    seek = (
-        blocked.join(own.select("_id", "_d"), "_id")
-        .withColumn("_lows", edges.select("lows").scalar())
-        .withColumn("_highs", edges.select("highs").scalar())
-        # blocks that end before p - r, and blocks that start at or before p + r
-        .withColumn("_from", bisect_right(F.col("_highs"), F.col("_p") - bound, 20))
-        .withColumn("_to", bisect_right(F.col("_lows"), F.col("_p") + bound, 20) - 1)
-        .drop("_lows", "_highs")
-    )
-    visits = seek.select(
-        "_id", "_x", F.col("_b").alias("_home"),
-        F.explode(F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to"))).alias("_b"),
-    ).where(F.col("_b") != F.col("_home"))
+    balls = nodes.select("_node", "_c", "_r")
+    # a leaf's bound: its points' largest first distance, or the farthest reach of its sibling's ball
+    within = blocked.join(own.select("_id", "_d"), "_id").groupBy("_b").agg(F.max(F.sqrt("_d")).alias("_own"))
+    leaves = nodes.where("_leaf").select(F.col("_node").alias("_a"), F.col("_c").alias("_ca"), F.col("_r").alias("_ra"))
+    sib = balls.select(F.col("_node").bitwiseXOR(F.lit(1)).alias("_a"), F.col("_c").alias("_cs"), F.col("_r").alias("_rs"))
+    bounds = leaves.join(within.withColumnRenamed("_b", "_a"), "_a", "left").join(sib, "_a", "left")
+    reach = F.when(F.col("_cs").isNotNull(), _dist("_ca", "_cs") + F.col("_ra") + F.col("_rs"))
+    bounds = materialize(bounds.select("_a", "_ca", "_ra", F.least(F.coalesce("_own", F.lit(float("inf"))), F.coalesce(reach, F.lit(float("inf")))).alias("_u")))
+    pairs = materialize(leaf_pairs(nodes, bounds))
+    if report is not None:
+        report["leaves"] = bounds.count()
+        report["pairs"] = pairs.count()
+    # per point: visit a leaf only if its ball is within the point's first distance
+    seek = blocked.join(own.select("_id", "_d"), "_id").withColumnRenamed("_b", "_a")
+    visits = _attach(seek, pairs, "_a").join(balls.withColumnRenamed("_node", "_b"), "_b")
+    near = _dist("_x", "_c") - F.col("_r") <= F.sqrt("_d") * (1 + SLACK) + SLACK
+    visits = visits.where(near).select("_id", "_x", "_b")
     loads = visits.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(visitor_rows))).cast("int").alias("_copies"))
+    loads = materialize(loads)
     batches = visits.join(loads, "_b").select(
         "_b", F.pmod(F.xxhash64("_id"), F.col("_copies")).cast("int").alias("_batch"), "_id", "_x", F.lit(True).alias("visitor")
     )

@@ -112,6 +112,20 @@ def test_nearest_neighbors_are_exact(spark, blocks):
     assert got == dict(zip(ids.tolist(), _brute_neighbors(ids, x).tolist()))
 
 
+def test_ball_tree_prunes_clustered_data(spark):
+    """64 dimensions in 16 clusters: exact, and fewer than half of all leaf pairs are visited."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(16, 64)) * 10
+    x = np.concatenate([c + rng.normal(size=(60, 64)) for c in centres])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x)], "_id long, _x array<double>")
+    report = {}
+    got = {r._id: r._nn for r in nearest_neighbors(df, 40, 100, report=report).collect()}
+    assert got == dict(zip(ids.tolist(), _brute_neighbors(ids, x).tolist()))
+    share = report["pairs"] / (report["leaves"] * (report["leaves"] - 1))
+    assert report["leaves"] >= 24 and share < 0.5, report
+
+
 def test_tomek_with_many_copies(spark):
     """A third of the rows are copies of one vector."""
     rng = np.random.default_rng(5)
