@@ -38,6 +38,7 @@ from fieldseries.operators.thresholds import search_threshold
 from fieldseries.operators.tomek import remove_tomek_links
 from fieldseries.operators.windows import horizon_labels, look_back
 from fieldseries.panel import Panel, check_panel
+from fieldseries.sources.ledger import Ledger, run_key
 from fieldseries.plans.disease import Prepared, decide, evaluate_runs, prepare_features, rule_scores
 from fieldseries.schema import FEATURE_VARIANTS, MIN_PRECISION
 from fieldseries.sources.readers import union_tables
@@ -107,10 +108,13 @@ def disease_benchmark(
     fallback: bool = False,
     split_by: str = "year",
     params: dict[str, dict[str, Any]] | None = None,
+    ledger: str | None = None,
 ) -> dict[str, DataFrame]:
     """Run models x horizons x windows x variants on a cleaned panel.
 
-    ``params`` overrides model parameters by model name. Returns the tables
+    ``params`` overrides model parameters by model name. With ``ledger`` (a folder) each
+    finished run is appended there under the hash of its parameters and input files, and
+    a grid started again takes finished runs from it and computes only the rest. Returns the tables
     ``runs`` (one row per run, failed ones with their error), ``best`` (top runs
     per model), ``predictions``, ``report``, ``thresholds`` and ``split``.
     """
@@ -123,24 +127,44 @@ def disease_benchmark(
     tagged = materialize(horizon_labels(with_split(check_panel(df, panel), cuts, split_by), horizons, panel))
     runs: list[dict[str, Any]] = []
     scores: list[DataFrame] = []
+    book = Ledger(df.sparkSession, ledger) if ledger else None
+    inputs = sorted(df.inputFiles()) if ledger else []
+    fixed = dict(
+        oracle=oracle, oracle_features=sorted(oracle_features or []), no_y=no_y, trials=trials, min_precision=min_precision,
+        n_validation=n_validation, n_test=n_test, fallback=fallback, split_by=split_by, inputs=inputs,
+    )
 
     def record(model: str, variant: str, horizon: int, window: int, n_features: int, score) -> None:
         """Score one run; a failing model becomes a row with its error."""
         run_id = f"{model}-{variant}-h{horizon}-w{window}" + ("-oracle" if oracle else "")
+        key = run_key(dict(fixed, model=model, variant=variant, horizon=horizon, window=window, params=params.get(model)))
+        if book is not None and book.committed(key):
+            row = book.row(key).first().asDict()
+            row["run_seq"] = len(runs)
+            runs.append(row)
+            done = book.scores(key)
+            if done is not None:
+                scores.append(done)
+            return
         row = dict(
             run_id=run_id, run_seq=len(runs), model=model, variant=variant, horizon=horizon, window_size=window,
             n_features=n_features, n_removed=0, best_params=None, seconds=0.0, error=None,
         )
         start = time.time()
+        scored_rows = None
         try:
             scored, details = score()
-            scores.append(materialize(_score_columns(scored, panel, f"target_h{horizon}", run_id)))
+            scored_rows = materialize(_score_columns(scored, panel, f"target_h{horizon}", run_id))
+            scores.append(scored_rows)
             row["n_removed"] = details.pop("n_removed", 0)
             row["best_params"] = json.dumps(details)
         except Exception as exc:  # the grid goes on; the reason stays in the table
             row["error"] = f"{type(exc).__name__}: {exc}"
         row["seconds"] = round(time.time() - start, 3)
         runs.append(row)
+        if book is not None:
+            one = df.sparkSession.createDataFrame([tuple(row[c.split()[0]] for c in RUN_COLUMNS.split(", "))], RUN_COLUMNS)
+            book.append(key, one, scored_rows)
 
     def tabular(model: str, rows: DataFrame, train: DataFrame, removed: int, target: str):
         def score():
