@@ -24,7 +24,7 @@ from fieldseries.sources.readers import (
     weather_panel,
 )
 from fieldseries.schema import SOURCE_COLUMNS
-from fieldseries.sources.sinks import params_json, write_runs
+from fieldseries.sources.sinks import commit_run, params_json, read_committed, write_runs
 
 ROW = "l_orderkey, l_linenumber"
 # Each seventh of the line items gets another kind of hand-typed cell.
@@ -229,3 +229,18 @@ def runs_written_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_runs(runs, path)
     write_runs(runs.where("run_id = '1'"), path)
     return spark.read.schema("run_seq long, model string, run_id string").parquet(path).select("run_seq", "run_id", "model")
+
+
+@query(
+    "committed_runs",
+    f"""{RUNS_SQL} select run_seq, cast(run_seq % 3 as varchar) as run_id, model from runs where run_seq % 3 <> 1""",
+)
+def committed_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs 0 and 2 committed with their tables sorted; run 1 stopped before its marker and is not read."""
+    path = _new_folder(spark)
+    runs = event_runs(spark, sf_dir).select("run_seq", (F.col("run_seq") % 3).cast("string").alias("run_id"), "model")
+    for run in ("0", "2"):
+        commit_run({"runs": runs.where(F.col("run_id") == run)}, path, run, {"runs": ["run_seq"]})
+    # a run that stopped after its table and before its marker
+    runs.where("run_id = '1'").drop("run_id").write.parquet(f"{path}/runs/run_id=1")
+    return read_committed(spark, path, "runs", "run_seq long, model string").select("run_seq", "run_id", "model")

@@ -93,3 +93,21 @@ def test_sinks(spark, tmp_path):
     assert table.collect()[0].best_params == '{"model":"x","c":0.5}'
     write_experiment({"metrics": table}, str(tmp_path / "out"), "r1")
     assert spark.read.parquet(str(tmp_path / "out" / "metrics")).count() == 1
+
+
+def test_committed_runs_are_sorted_and_whole(spark, tmp_path):
+    from fieldseries.sources.sinks import commit_run, committed_runs, read_committed
+
+    path = str(tmp_path / "exp")
+    rows = spark.createDataFrame([(k, f"m{k % 4}") for k in range(200, 0, -1)], "seq long, model string")
+    commit_run({"predictions": rows, "metrics": rows.groupBy("model").count()}, path, "r1", {"predictions": ["seq"]})
+    rows.write.parquet(f"{path}/predictions/run_id=r2")  # stopped before its marker
+    assert committed_runs(spark, path) == ["r1"]
+    got = read_committed(spark, path, "predictions", "seq long, model string")
+    assert got.count() == 200 and {r.run_id for r in got.collect()} == {"r1"}
+    files = sorted((tmp_path / "exp" / "predictions" / "run_id=r1").glob("*.parquet"))
+    firsts = [spark.read.parquet(str(f)).collect() for f in files]
+    seqs = [r.seq for part in firsts for r in part]
+    assert seqs == sorted(seqs)
+    commit_run({"predictions": rows.limit(5)}, path, "r1", {"predictions": ["seq"]})
+    assert read_committed(spark, path, "predictions").count() == 5
