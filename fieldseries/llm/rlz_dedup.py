@@ -1,16 +1,18 @@
 """Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
 
-Words are runs of non-white-space (``[^\\x20\\x09-\\x0D]+``), taken unchanged. A window
-is ``WINDOW`` consecutive words of one document; it is keyed by two independent
-hashes of its words (xxhash64 and murmur3, 96 bits: for 10**12 distinct windows the
-chance of any false match is below 10**-5).
-
-1. Index: every window's first occurrence (least document id, then position) is kept
-   for the windows held by more than one document, aggregated map-side so that a very
-   common window travels once per task, and written once. Its rows are dealt by hash
-   into reference blocks: the shuffle partitions of the written table.
-2. Parse: each document's windows probe the blocks that own their hashes (a join of two
-   written or scanned sides, which adaptive execution splits where one hash is hot);
+Words are runs of non-white-space (``[^\\x20\\x09-\\x0D]+``), taken unchanged, and
+hashed once (xxhash64). A window is ``WINDOW`` consecutive words of one document; it
+is keyed by two polynomials of its word hashes modulo 2**64 (128 bits). A false match
+needs two distinct words of equal 64-bit hash (for 10**9 distinct words a chance of
+about 3 %, each such pair touching only windows that differ in just those words) or a
+coincidence of both keys.
+
+1. Index: the windows are written once, split by hash into reference blocks. In each
+   block every window's first occurrence (least document id, and a position in it) is
+   kept for the windows held by more than one document, aggregated map-side so that a
+   very common window travels once per task, and written.
+2. Parse: each document's windows probe the block that owns their hashes (a join of two
+   written sides, which adaptive execution splits where one hash is hot);
    a probe that finds a first occurrence in a document with a smaller id is a match,
    pointing at (reference document, position).
 3. Factor: per document, greedily from the left, a factor is the longest run of
@@ -28,20 +30,28 @@ of its longest document, never with the number of copies of a passage.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from fieldseries.operators.materialize import materialize
+from fieldseries.operators.materialize import materialize, shared_folder
+
+from .lifetime import short_lived_shuffles
 
 # Fixed values of the rule.
 WINDOW = 13
 WORD = r"[^\x20\x09-\x0D]+"
+#: Reference blocks of the window index (slices of its keys), each built and probed in a pass of its own.
+SLICES = 16
+#: Bases of the two polynomial window keys over 64-bit word hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _FACTOR = ArrayType(
     StructType([StructField("start", IntegerType()), StructField("length", IntegerType()), StructField("ref_id", LongType()), StructField("ref_start", IntegerType())])
@@ -52,56 +62,118 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
 
 
-def _windows(docs: DataFrame) -> DataFrame:
-    """``_id, _p, _h1, _h2``: one row per window start of each document with an id."""
-    w = F.col("_w")
-    starts = F.when(F.size(w) >= WINDOW, F.sequence(F.lit(0), F.size(w) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    keyed = F.transform(starts, lambda p: F.struct(p.alias("_p"), F.xxhash64(F.slice(w, p + 1, WINDOW)).alias("_h1"), F.hash(F.slice(w, p + 1, WINDOW)).alias("_h2")))
-    return docs.where(F.col("_id").isNotNull()).select("_id", "_tk", F.inline(keyed))
-
+def _window_keys(wh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two polynomial keys (mod 2**64, bases ``BASES``) of every run of ``WINDOW`` word hashes."""
+    n = len(wh) - WINDOW + 1
+    keys = []
+    for base in BASES:
+        h = np.zeros(max(n, 0), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(WINDOW):
+                h = h * np.uint64(base) + wh[j : j + n]
+        keys.append(h)
+    return keys[0], keys[1]
 
-def matches(docs: DataFrame) -> DataFrame:
-    """``_id, _tk, _m``: per document with a match, its matched windows ``(p, ref_id, ref_p)`` sorted by ``p``.
 
-    ``_tk`` (a hash of the text) keeps rows with equal ids and other texts apart; repeated rows share their matches.
+def _block_rows(block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of one reference block: ``_h1, _h2, _id, _tk, _p`` for keys with ``_h1 mod SLICES == block`` (``_h2``: 32 bits of the second key)."""
+    for batch in batches:
+        lists = batch.column("_wh")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        h1, h2 = _window_keys(flat)
+        if not len(h1):
+            continue
+        doc = np.repeat(np.arange(len(batch)), np.diff(offsets))[: len(h1)]
+        pos = np.arange(len(h1)) - offsets[doc]
+        inside = pos + WINDOW <= np.diff(offsets)[doc]
+        take = np.flatnonzero(inside & (h1 % np.uint64(SLICES) == np.uint64(block)))
+        ids, tks = batch.column("_id").to_numpy(zero_copy_only=False), batch.column("_tk").to_numpy(zero_copy_only=False)
+        low = (h2[take] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h1[take].view(np.int64)), pa.array(low), pa.array(ids[doc[take]]), pa.array(tks[doc[take]]), pa.array(pos[take].astype(np.int32))],
+            names=["_h1", "_h2", "_id", "_tk", "_p"],
+        )
+
+
+def matches(docs: DataFrame, text_col: str) -> DataFrame:
+    """``_id, _tk, _mp, _mr, _mq``: per document with a match, its matched window starts, their reference documents and positions, sorted.
+
+    ``_tk`` (32 bits of a hash of the text) keeps rows with equal ids and other texts apart;
+    repeated rows share their matches. Word hashes are written once (8 bytes a word); the window index is
+    split by key into ``SLICES`` reference blocks, each built from them, indexed (first
+    document and a position in it, for windows held by more than one document) and probed
+    in a pass of its own whose shuffle files go when it ends.
     """
-    windows = _windows(docs)
-    first = windows.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_p")).alias("_first"), F.max("_id").alias("_last"))
-    index = materialize(first.where(F.col("_first._id") < F.col("_last")).select("_h1", "_h2", "_first"))
-    probed = windows.join(index, ["_h1", "_h2"]).where(F.col("_first._id") < F.col("_id"))
-    hit = F.struct(F.col("_p").alias("p"), F.col("_first._id").alias("ref_id"), F.col("_first._p").alias("ref_p"))
-    return probed.groupBy("_id", "_tk").agg(F.array_sort(F.collect_set(hit)).alias("_m"))
+    spark = docs.sparkSession
+    hashed = docs.where(F.col("_id").isNotNull()).select("_id", "_tk", F.transform(words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("_wh"))
+    table = f"{shared_folder(spark)}/rlz-words-{uuid.uuid4().hex}"
+    hashed.write.parquet(table)
+    stored = spark.read.schema(hashed.schema).parquet(table)
+    found = []
+    with short_lived_shuffles(spark):
+        for k in range(SLICES):
+            block = stored.mapInArrow(partial(_block_rows, k), "_h1 long, _h2 int, _id long, _tk int, _p int")
+            first = block.groupBy("_h1", "_h2").agg(F.min("_id").alias("_ref"), F.min_by("_p", F.col("_id")).alias("_refp"), F.max("_id").alias("_last"))
+            index = materialize(first.where(F.col("_ref") < F.col("_last")).drop("_last"))
+            probed = block.join(index, ["_h1", "_h2"]).where(F.col("_ref") < F.col("_id"))
+            found.append(materialize(probed.select("_id", "_tk", "_p", "_ref", "_refp")))
+    _delete(spark, table)
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    hit = F.array_sort(F.collect_set(F.struct("_p", "_ref", "_refp")))
+    grouped = hits.groupBy("_id", "_tk").agg(hit.alias("_m"))
+    return grouped.select("_id", "_tk", F.col("_m._p").alias("_mp"), F.col("_m._ref").alias("_mr"), F.col("_m._refp").alias("_mq"))
+
+
+def _delete(spark, path: str) -> None:
+    """Remove a table that this operator wrote and no longer needs."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_FACTOR_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_id", pa.int64()), ("ref_start", pa.int32())]))
 
 
 def _parse(own: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    factor_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_id", pa.int64()), ("ref_start", pa.int32())]))
+    """Greedy factors from the matches, and the kept words; documents without matches are joined whole, in Arrow."""
     for batch in batches:
-        kept, n_words, removed, factors = [], [], [], []
-        for ws, ms in zip(batch.column("_w").to_pylist(), batch.column("_m").to_pylist(), strict=True):
-            n = len(ws)
-            cover = np.zeros(n + 1, dtype=np.int64)
-            found = []
-            if ms:
-                p = np.fromiter((m["p"] for m in ms), np.int64, len(ms))
-                ref = np.fromiter((m["ref_id"] for m in ms), np.int64, len(ms))
-                rp = np.fromiter((m["ref_p"] for m in ms), np.int64, len(ms))
-                # a factor goes on while the next window is the next one of the same reference
-                go_on = np.zeros(len(p), dtype=bool)
-                go_on[1:] = (np.diff(p) == 1) & (ref[1:] == ref[:-1]) & (np.diff(rp) == 1)
-                heads = np.flatnonzero(~go_on)
-                ends = np.append(heads[1:], len(p)) - 1
-                for h, e in zip(heads, ends, strict=True):
-                    found.append({"start": int(p[h]), "length": int(p[e] - p[h] + WINDOW), "ref_id": int(ref[h]), "ref_start": int(rp[h])})
-                np.add.at(cover, p[heads], 1)
-                np.add.at(cover, p[ends] + WINDOW, -1)
-            gone = np.cumsum(cover[:n]) > 0
-            kept.append(" ".join(w for w, g in zip(ws, gone, strict=True) if not g))
-            n_words.append(n)
-            removed.append(int(gone.sum()))
-            factors.append(found)
-        text_type = batch.schema.field("_w").type.value_type
+        ws = batch.column("_w")
+        whole = pc.binary_join(ws, " ")
+        kept = {}
+        n_words = pc.list_value_length(ws).fill_null(0).cast(pa.int64())
+        removed = np.zeros(len(batch), dtype=np.int64)
+        factors = [[] for _ in range(len(batch))]
+        mp, mr, mq = batch.column("_mp"), batch.column("_mr"), batch.column("_mq")
+        for i in np.flatnonzero(pc.list_value_length(mp).fill_null(0).to_numpy(zero_copy_only=False) > 0):
+            p = np.asarray(mp[i].values.to_numpy(zero_copy_only=False), dtype=np.int64)
+            ref = np.asarray(mr[i].values.to_numpy(zero_copy_only=False), dtype=np.int64)
+            rp = np.asarray(mq[i].values.to_numpy(zero_copy_only=False), dtype=np.int64)
+            # a factor goes on while the next window is the next one of the same reference
+            go_on = np.zeros(len(p), dtype=bool)
+            go_on[1:] = (np.diff(p) == 1) & (ref[1:] == ref[:-1]) & (np.diff(rp) == 1)
+            heads = np.flatnonzero(~go_on)
+            ends = np.append(heads[1:], len(p)) - 1
+            factors[i] = [
+                {"start": int(p[h]), "length": int(p[e] - p[h] + WINDOW), "ref_id": int(ref[h]), "ref_start": int(rp[h])}
+                for h, e in zip(heads, ends, strict=True)
+            ]
+            words_i = np.asarray(ws[i].values.to_numpy(zero_copy_only=False), dtype=object)
+            cover = np.zeros(len(words_i) + 1, dtype=np.int64)
+            np.add.at(cover, p[heads], 1)
+            np.add.at(cover, p[ends] + WINDOW, -1)
+            gone = np.cumsum(cover[:-1]) > 0
+            removed[i] = int(gone.sum())
+            kept[int(i)] = " ".join(words_i[~gone])
+        if kept:
+            mask = np.zeros(len(batch), dtype=bool)
+            mask[list(kept)] = True
+            whole = pc.replace_with_mask(whole, pa.array(mask), pa.array([kept[i] for i in sorted(kept)], whole.type))
         columns = [batch.column(c) for c in own]
-        columns += [pa.array(kept, text_type), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(factors, factor_type)]
+        columns += [whole, n_words, pa.array(removed), pa.array(factors, _FACTOR_ARROW)]
         yield pa.RecordBatch.from_arrays(columns, names=[*own, "kept", "n_words", "n_removed", "factors"])
 
 
@@ -121,9 +193,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = [c for c in docs.columns if not c.startswith("_") and c not in mine]
     if id_col not in own or text_col not in own:
         raise ValueError(f"{id_col} and {text_col} must be columns of their own")
-    base = docs.select(*own, F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_tk"))
-    found = matches(base.select("_id", "_tk", words(F.col(text_col)).alias("_w")))
-    joined = base.join(found, ["_id", "_tk"], "left").select(*own, words(F.col(text_col)).alias("_w"), "_m")
+    base = docs.select(*own, F.col(id_col).cast("long").alias("_id"), F.hash(text_col).alias("_tk"))
+    found = matches(base, text_col)
+    joined = base.join(found, ["_id", "_tk"], "left").select(*own, words(F.col(text_col)).alias("_w"), "_mp", "_mr", "_mq")
     schema = StructType([*[docs.schema[c] for c in own]]).add("kept", "string").add("n_words", "long").add("n_removed", "long")
     schema = schema.add("factors", _FACTOR)
     return joined.mapInArrow(partial(_parse, own), schema)
