@@ -142,10 +142,15 @@ def _written(spans):
     return F.array_join(each, ",")
 
 
+def _of_kind(spans: str, kind: int):
+    """Number of spans of a kind. A second parameter of the lambda would be the position in the array."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind))
+
+
 @query("op8_private")
 def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_private(documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [_of_kind("base", k).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     every = F.array_sort(F.concat("base", "extra"))
     return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"), F.size("extra").cast("long").alias("n_extra"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldseries.llm import byte_bpe, decontaminate, fingerprint, language, line_dedup, main_text, near_dedup, pii, substring_dedup, warc
 from fieldseries.llm.graph import components
+from fieldseries.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -358,6 +359,20 @@ def test_private_spans_equal_the_plain_rules(spark, sample, texts):
         assert all(not (x.s < b.e and b.s < x.e) for x in r.extra for b in r.base)
 
 
+def test_private_query_counts_each_kind(spark, tmp_path):
+    rows = [(1, "a@b.co c@d.org +1 (234) 555-0000"), (2, "1.2.3.4 5.6.7.8 4539578763621486"), (3, "x@y.z 1.2.3.4, 4539578763621486 +49 30 1234567 e@f.gh"), (4, None), (None, "a@b.co"), (4, "9.9.9.9")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.doc_id or 0, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in QUERIES["op8_private"](spark, str(tmp_path)).collect())
+
+    def expected(i, text):
+        spans = rule_spans(text or "")
+        written = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in spans)
+        return (i or 0, *(sum(x[0] == k for x in spans) for k in range(4)), hashlib.sha256(written.encode()).hexdigest())
+
+    assert found == sorted(expected(*r) for r in rows)
+    assert (1, 2, 0, 0, 1) in {r[:5] for r in found} and (3, 2, 1, 1, 1) in {r[:5] for r in found}
+
+
 def test_boosted_candidates_add_spelled_out_addresses(spark):
     rows = [(i, f"words tel +1 ({200 + i}) 555-{i * 7 % 10000:04d} and mail u{i}.x@host{i}.org at ip 10.{i % 256}.3.{i % 200} card 4539578763621486") for i in range(200)]
     rows += [(1000, "write to u1 (at) host (dot) com now"), (2000, "only prose in 1999 and 3.14")]
