@@ -35,6 +35,8 @@ PROPOSALS = {
 NEEDS = {"email": r"@|[\[(]\x20?(?:at|AT)", "ip": r"[0-9A-Fa-f][.:][0-9A-Fa-f]", "card": r"[0-9]", "phone": r"[0-9]"}
 WORDS = r"(?i)(mail|e-mail|contact|tel|phone|call|fon|mobile|fax|card|visa|credit|iban|account|host|server|addr|ip)"
 FEATURES = ["kind_index", "size", "digits", "letters", "groups", "longest", "marks", "distinct", "luhn", "keyword", "glued_before", "glued_after", "line_start"]
+#: Training rows in one task.
+ROWS_PER_TASK = 50_000
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -131,21 +133,25 @@ def decoys(spans: DataFrame) -> DataFrame:
     return spans.where("valid").withColumn("m", broken).withColumn("valid", F.lit(False)).withColumn("e", F.col("s") + F.length("m"))
 
 
-def fit(labelled: DataFrame, precision: float = 0.95, max_rows: int = 20_000, rounds: int = 20, depth: int = 4):
+def fit(labelled: DataFrame, precision: float = 0.95, rounds: int = 20, depth: int = 4):
     """Boosted trees and the least score whose held-out precision reaches ``precision``; None where labels can't give one.
 
-    ``labelled`` has the features and ``label``. At most ``max_rows`` of them are used,
-    those of least hash; a fifth is held out for the threshold.
+    ``labelled`` has the features and ``label``. All of it is used: rows of equal features
+    and label are one row with their number as weight. A fifth, by hash, is held out for
+    the threshold.
     """
-    order = F.xxhash64("id", "s", "kind")
-    rows = materialize(labelled.withColumn("h", order).orderBy("h", "e", "m").limit(max_rows).select(*FEATURES, "label", F.pmod("h", F.lit(5)).alias("part")))
-    parts = {(r["held"], r["label"]): r["n"] for r in rows.groupBy((F.col("part") == 0).alias("held"), "label").agg(F.count("*").alias("n")).collect()}
-    if any(parts.get((held, y), 0) < 5 for held in (True, False) for y in (0.0, 1.0)):
+    held = F.pmod(F.xxhash64("id", "s", "kind"), F.lit(5)) == 0
+    rows = materialize(labelled.groupBy(*FEATURES, "label", held.alias("held")).agg(F.count("*").cast("double").alias("n")))
+    parts = {(r["held"], r["label"]): r for r in rows.groupBy("held", "label").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+    if any((held, y) not in parts or parts[held, y]["n"] < 5 for held in (True, False) for y in (0.0, 1.0)):
         return None
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=11).fit(assembler.transform(rows.where("part <> 0").coalesce(2)))
-    scored = model.transform(assembler.transform(rows.where("part = 0"))).select("label", F.round(vector_to_array("probability")[1], 3).alias("p"))
-    found = scored.groupBy("p").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("p")).collect()
+    # rounds cost a job each: as few tasks as the rows need
+    tasks = max(2, sum(parts[False, y]["rows"] for y in (0.0, 1.0)) // ROWS_PER_TASK)
+    train = assembler.transform(rows.where("not held").coalesce(tasks))
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, weightCol="n", seed=11).fit(train)
+    scored = model.transform(assembler.transform(rows.where("held"))).select("label", "n", F.round(vector_to_array("probability")[1], 3).alias("p"))
+    found = scored.groupBy("p").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).orderBy(F.desc("p")).collect()
     good = n = 0
     threshold = None
     for r in found:

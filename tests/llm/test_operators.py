@@ -373,6 +373,20 @@ def test_private_query_counts_each_kind(spark, tmp_path):
     assert (1, 2, 0, 0, 1) in {r[:5] for r in found} and (3, 2, 1, 1, 1) in {r[:5] for r in found}
 
 
+def test_trees_learn_from_every_labelled_row(spark):
+    """Rows of one label that all have larger hashes than 20,000 others still count."""
+    labelled = spark.range(20_200).select("id", F.lit(0).alias("s"), F.lit(0).alias("kind"), F.lit(5).alias("e"), F.lit("m").alias("m"))
+    ranked = labelled.withColumn("h", F.xxhash64("id", "s", "kind"))
+    cut = sorted((r.h for r in ranked.collect()), reverse=True)[150]
+    bad = F.col("h") > cut
+    features = {f: F.lit(1.0) for f in pii.FEATURES} | {"size": F.when(bad, 2.0).otherwise(9.0), "digits": (F.col("id") % 3).cast("double")}
+    learned = pii.fit(ranked.select("*", F.when(bad, 0.0).otherwise(1.0).alias("label")).withColumns(features).drop("h"))
+    assert learned is not None
+    assembler, model, threshold = learned
+    some = spark.createDataFrame([(9.0, 1.0), (2.0, 1.0)], "size double, digits double").withColumns({f: F.lit(1.0) for f in pii.FEATURES if f not in ("size", "digits")})
+    assert [r.prediction for r in model.transform(assembler.transform(some)).orderBy("size").collect()] == [0.0, 1.0] and 0.5 <= threshold <= 1
+
+
 def test_boosted_candidates_add_spelled_out_addresses(spark):
     rows = [(i, f"words tel +1 ({200 + i}) 555-{i * 7 % 10000:04d} and mail u{i}.x@host{i}.org at ip 10.{i % 256}.3.{i % 200} card 4539578763621486") for i in range(200)]
     rows += [(1000, "write to u1 (at) host (dot) com now"), (2000, "only prose in 1999 and 3.14")]
