@@ -6,20 +6,21 @@ ties to the lower id); no pair leaves a task, only the best one per row:
 1. identical vectors are grouped first. Only their two lowest ids can be each
    other's neighbour, so a third of all rows being copies costs one vector;
 2. the distinct vectors form a metric tree of balls (centre, radius), kept as
-   tables: a node is split by two far-apart pivots until leaves are of bounded
-   size, and inner balls cover their children's;
+   tables: a node is split by two far-apart pivots, or where that leaves less
+   than a quarter on one side at the median between them, until leaves are of
+   bounded size; inner balls cover their children's;
 3. inside its leaf each row finds a first neighbour, an upper bound;
 4. each leaf descends the tree and keeps only the leaves whose balls the
-   triangle inequality cannot rule out; each row then visits those of them
-   whose ball is within its own bound. A leaf with many visitors is copied to
-   several tasks, so a task never holds more than one leaf and one batch of
-   visitors.
+   triangle inequality cannot rule out. Leaves are bundled by subtree; two
+   bundles with such leaves meet in one task, which prunes by each row's own
+   bound. A row travels once for each bundle, not for each leaf, and a task
+   never holds more than two bundles.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,15 @@ from fieldseries.operators.materialize import materialize
 
 BLOCK_ROWS = 4096
 VISITOR_ROWS = 8192
+#: Rows of a bundle of leaves: a share of all rows, so that rows travel equally often at any size, within bounds.
+BUNDLE_SHARE = 16
+BUNDLE_ROWS = (4096, 131_072)
+#: Distances computed at once are visitors times so many rows.
+TILE_ROWS = 4096
+TILE_VISITORS = 256
 MAX_DEPTH = 60
+#: Most tasks of the search between bundles.
+MAX_TASKS = 2000
 #: Node tables up to this many rows are broadcast to the points (about 10 MB at 64 dimensions).
 BROADCAST_NODES = 20_000
 # Distances are compared on squared values rounded to this many places.
@@ -38,39 +47,99 @@ PLACES = 9
 SLACK = 1e-6
 
 
-def _nearest(ids: np.ndarray, rows: np.ndarray, other_ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest other row for each row: (squared distance, id); inf and -1 if none."""
-    best = np.full(len(ids), np.inf)
-    near = np.full(len(ids), -1, dtype=np.int64)
+def _nearest(rows: np.ndarray, other_ids: np.ndarray, others: np.ndarray, bound: np.ndarray, skip=None) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest of ``others`` for each row: (squared distance, id); inf and -1 if none within ``bound``. ``skip`` marks pairs left out."""
+    best = np.full(len(rows), np.inf)
+    near = np.full(len(rows), -1, dtype=np.int64)
     norms = np.einsum("ij,ij->i", others, others)
-    for lo in range(0, len(ids), 512):
-        part = rows[lo : lo + 512]
-        own = np.einsum("ij,ij->i", part, part)
-        rough = own[:, None] + norms[None, :] - 2.0 * part @ others.T
-        rough[ids[lo : lo + 512, None] == other_ids[None, :]] = np.inf
-        floor = rough.min(axis=1)
-        # the product form is inexact; recompute everything close to the minimum
-        margin = 1e-9 * (own + norms.max()) + 10.0**-PLACES
-        at, who = np.nonzero((rough <= (floor + margin)[:, None]) & np.isfinite(rough))
-        exact = np.round(((part[at] - others[who]) ** 2).sum(axis=1), PLACES)
-        order = np.lexsort((other_ids[who], exact, at))
-        first = order[np.concatenate(([True], np.diff(at[order]) > 0))] if len(order) else order
-        best[lo + at[first]] = exact[first]
-        near[lo + at[first]] = other_ids[who[first]]
+    # one product gives |y|^2 - 2 x y
+    lifted = np.concatenate((-2.0 * others, norms[:, None]), axis=1).T
+    own = np.einsum("ij,ij->i", rows, rows)
+    rough = np.concatenate((rows, np.ones((len(rows), 1))), axis=1) @ lifted
+    if skip is not None:
+        rough[skip] = np.inf
+    floor = rough.min(axis=1)
+    # the product form is inexact; recompute everything close to the minimum
+    margin = 1e-9 * (own + norms.max()) + 10.0**-PLACES
+    some = np.flatnonzero(np.isfinite(floor) & (floor + own <= bound + margin))
+    at, who = np.nonzero(rough[some] <= (floor + margin)[some, None])
+    at = some[at]
+    exact = np.round(((rows[at] - others[who]) ** 2).sum(axis=1), PLACES)
+    order = np.lexsort((other_ids[who], exact, at))
+    first = order[np.concatenate(([True], np.diff(at[order]) > 0))] if len(order) else order
+    best[at[first]] = exact[first]
+    near[at[first]] = other_ids[who[first]]
     return best, near
 
 
-def _block_search(groups: pd.DataFrame) -> pd.DataFrame:
-    """One block and one batch of visitors; rows without ``visitor`` are the block."""
-    block = groups[~groups["visitor"]]
-    seekers = groups[groups["visitor"]]
-    others = np.stack(block["_x"].to_numpy()) if len(block) else np.zeros((0, 1))
-    if not len(seekers) or not len(block):
-        return pd.DataFrame({"_id": [], "_d": [], "_nn": []})
-    best, near = _nearest(
-        seekers["_id"].to_numpy(), np.stack(seekers["_x"].to_numpy()), block["_id"].to_numpy(), others
-    )
-    return pd.DataFrame({"_id": seekers["_id"].to_numpy(), "_d": best, "_nn": near})
+def _better(best: np.ndarray, near: np.ndarray, at: np.ndarray, d: np.ndarray, nn: np.ndarray) -> None:
+    """Take over what is nearer, or as near with a lower id."""
+    gain = (nn >= 0) & ((d < best[at]) | ((d == best[at]) & ((near[at] < 0) | (nn < near[at]))))
+    best[at[gain]], near[at[gain]] = d[gain], nn[gain]
+
+
+def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a group."""
+    ids = group.column("_id").to_numpy()
+    flat = group.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return ids, flat.reshape(len(ids), -1)
+
+
+def _found(ids: np.ndarray, best: np.ndarray, near: np.ndarray) -> pa.Table:
+    return pa.table({"_id": pa.array(ids, pa.int64()), "_d": pa.array(best, pa.float64()), "_nn": pa.array(near, pa.int64())})
+
+
+def _leaf_search(group: pa.Table) -> pa.Table:
+    """The rows of one leaf among themselves."""
+    ids, rows = _columns(group)
+    best, near = np.full(len(ids), np.inf), np.full(len(ids), -1, dtype=np.int64)
+    for lo in range(0, len(ids), TILE_VISITORS):
+        part = np.arange(lo, min(lo + TILE_VISITORS, len(ids)))
+        best[part], near[part] = _nearest(rows[part], ids, rows, best[part], (part - lo, part))
+    return _found(ids, best, near)
+
+
+def _visit(best: np.ndarray, near: np.ndarray, rows: np.ndarray, leaf: np.ndarray, ids: np.ndarray, hosts: np.ndarray, host_leaf: np.ndarray, visitor_rows: int) -> None:
+    """Rows visit the leaves of a bundle whose balls are within their bound; hosts are sorted by leaf."""
+    names, starts = np.unique(host_leaf, return_index=True)
+    ends = np.append(starts[1:], len(hosts))
+    centres = np.stack([hosts[s:e].mean(axis=0) for s, e in zip(starts, ends, strict=True)])
+    radius = np.array([np.sqrt(((hosts[s:e] - c) ** 2).sum(axis=1).max()) for s, e, c in zip(starts, ends, centres, strict=True)])
+    reach = np.einsum("ij,ij->i", centres, centres)
+    tile = starts // TILE_ROWS
+    step = min(visitor_rows, TILE_VISITORS)
+    for lo in range(0, len(rows), step):
+        at = np.arange(lo, min(lo + step, len(rows)))
+        part = rows[at]
+        own = np.einsum("ij,ij->i", part, part)
+        square = own[:, None] + reach[None, :] - 2.0 * part @ centres.T
+        # rounding of the product may only widen the reach of a row
+        gap = np.sqrt(np.maximum(square - 1e-9 * (own[:, None] + reach[None, :]), 0.0)) - radius[None, :]
+        away = leaf[at][:, None] != names[None, :]
+        for t in np.unique(tile):
+            inside = np.flatnonzero(tile == t)
+            open_ = away[:, inside] & (gap[:, inside] <= (np.sqrt(best[at]) * (1 + SLACK) + SLACK)[:, None])
+            who, balls = np.flatnonzero(open_.any(axis=1)), inside[open_.any(axis=0)]
+            if not len(who):
+                continue
+            some = np.concatenate([np.arange(starts[k], ends[k]) for k in balls])
+            own_leaf = leaf[at[who]][:, None] == host_leaf[some][None, :] if np.isin(leaf[at[who]], names[balls]).any() else None
+            d, nn = _nearest(part[who], ids[some], hosts[some], best[at[who]], own_leaf)
+            _better(best, near, at[who], d, nn)
+
+
+def _bundle_search(visitor_rows: int, group: pa.Table) -> pa.Table:
+    """Two bundles, each visiting the other, or one visiting itself."""
+    group = group.sort_by([("_bundle", "ascending"), ("_node", "ascending"), ("_id", "ascending")])
+    ids, rows = _columns(group)
+    leaf, bundle = group.column("_node").to_numpy(), group.column("_bundle").to_numpy()
+    best, near = group.column("_d").to_numpy().copy(), np.full(len(ids), -1, dtype=np.int64)
+    cut = int(np.searchsorted(bundle, bundle[0], side="right"))
+    one, two = slice(0, cut), slice(cut, len(ids))
+    for mine, theirs in [(one, one)] if cut == len(ids) else [(one, two), (two, one)]:
+        _visit(best[mine], near[mine], rows[mine], leaf[mine], ids[theirs], rows[theirs], leaf[theirs], visitor_rows)
+    hit = near >= 0
+    return _found(ids[hit], best[hit], near[hit])
 
 
 _FOUND = "_id long, _d double, _nn long"
@@ -91,53 +160,78 @@ def _attach(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> Da
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_NODES else small, on, how)
 
 
-def build_tree(points: DataFrame, leaf_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+def _split_here(leaf_rows: int, group: pa.Table) -> pa.Table:
+    """The subtree of one node, split further in its task: ``_id, _x, _node``."""
+    ids, rows = _columns(group)
+    node = np.zeros(len(ids), dtype=np.int64)
+    todo = [(group.column("_node")[0].as_py(), np.argsort(ids))]
+    while todo:
+        k, at = todo.pop()
+        if len(at) <= leaf_rows:
+            node[at] = k
+            continue
+        a = ((rows[at] - rows[at[0]]) ** 2).sum(axis=1)
+        b = ((rows[at] - rows[at[np.argmax(a)]]) ** 2).sum(axis=1)
+        right = np.sqrt(b) < np.sqrt(a)
+        if not len(at) <= 4 * right.sum() <= 3 * len(at):
+            right = np.zeros(len(at), dtype=bool)
+            right[np.argsort(np.sqrt(a) - np.sqrt(b), kind="stable")[len(at) // 2 :]] = True
+        todo += [(2 * k, at[~right]), (2 * k + 1, at[right])]
+    return pa.table({"_id": pa.array(ids), "_x": group.column("_x").cast(pa.list_(pa.float64())), "_node": pa.array(node)})
+
+
+def build_tree(points: DataFrame, leaf_rows: int = BLOCK_ROWS, task_rows: int = BUNDLE_ROWS[0]) -> tuple[DataFrame, DataFrame]:
     """A ball tree of ``(_id, _x)`` as two tables: ``(_id, _x, _node)`` per point and ``(_node, _c, _r, _n, _leaf)`` per node.
 
     Nodes are numbered as in a heap (root 1, children 2k and 2k+1). A node of more than
     ``leaf_rows`` points is split by two pivots: the point of least hash, and the point
-    farthest from it; each point goes to the nearer pivot (ties to the first). Every split
-    moves at least one point, so leaves hold at most ``leaf_rows`` points. A node's ball is
-    the mean of its points and a radius covering them all (for inner nodes from their
-    children's balls). Vectors must be distinct and of one length.
+    farthest from it; each point goes to the nearer pivot (ties to the first). Where that
+    leaves less than a quarter of the points on one side (outliers), they are split at the
+    median of the difference of their distances instead, points at the median by
+    hash: depth grows with the logarithm of the number of points. Nodes of at most
+    ``task_rows`` points are split further in one task each. A node's ball is
+    the mean of its points and a radius covering them all (for inner nodes from the
+    balls of their leaves). Vectors must be distinct and of one length.
     """
-    pts = materialize(points.select("_id", "_x", F.lit(1).cast("long").alias("_node")))
+    pts = points.select("_id", "_x", F.lit(1).cast("long").alias("_node"))
     depth = 0
     while True:
         first = pts.groupBy("_node").agg(F.min_by("_x", F.struct(F.xxhash64("_id"), F.col("_id"))).alias("_a"), F.count(F.lit(1)).alias("_n"))
-        first = first.where(F.col("_n") > leaf_rows).select("_node", "_a")
+        first = materialize(first.where(F.col("_n") > max(leaf_rows, task_rows)))
         if first.isEmpty():
             break
         if depth >= MAX_DEPTH:
             raise ValueError(f"The tree is deeper than {MAX_DEPTH} levels")
-        with_a = _attach(pts, first, "_node")
+        with_a = _attach(pts, first.select("_node", "_a"), "_node")
         far = with_a.groupBy("_node").agg(F.max_by("_x", F.struct(_dist("_x", "_a"), F.col("_id"))).alias("_b"))
-        pivots = first.join(far, "_node")
+        pivots = materialize(first.join(far, "_node"))
+        side = _dist("_x", "_a") - _dist("_x", "_b")
+        sided = _attach(pts, pivots, "_node").select("_node", "_n", side.alias("_side"))
+        cuts = sided.groupBy("_node", "_n").agg(F.count_if(F.col("_side") > 0).alias("_right"), F.percentile_approx("_side", 0.5, 200).alias("_median"))
+        even = F.col("_right").between(F.col("_n") / 4, F.col("_n") * 3 / 4)
+        pivots = pivots.join(cuts.select("_node", F.when(~even, F.col("_median")).alias("_cut")), "_node").drop("_n")
         placed = _attach(pts, pivots, "_node", "left")
-        child = F.when(F.col("_a").isNull(), F.col("_node")).otherwise(
-            2 * F.col("_node") + (_dist("_x", "_b") < _dist("_x", "_a")).cast("long")
-        )
+        by_hash = (side == F.col("_cut")) & (F.pmod(F.xxhash64(F.lit(depth), F.col("_id")), F.lit(2)) == 1)
+        right = (side > F.coalesce("_cut", F.lit(0.0))) | F.coalesce(by_hash, F.lit(False))
+        child = F.when(F.col("_a").isNull(), F.col("_node")).otherwise(2 * F.col("_node") + right.cast("long"))
         pts = materialize(placed.select("_id", "_x", child.alias("_node")))
         depth += 1
 
+    if task_rows > leaf_rows:
+        pts = materialize(pts.groupBy("_node").applyInArrow(lambda group: _split_here(leaf_rows, group), "_id long, _x array<double>, _node long"))
     vec = array_to_vector("_x")
     leaves = pts.groupBy("_node").agg(Summarizer.mean(vec).alias("_mean"), F.count(F.lit(1)).alias("_n"))
     leaves = materialize(leaves.select("_node", vector_to_array("_mean").alias("_c"), "_n"))
     radius = _attach(pts, leaves.select("_node", "_c"), "_node").groupBy("_node").agg(F.max(_dist("_x", "_c")).alias("_r"))
-    nodes = materialize(leaves.join(radius, "_node").withColumn("_leaf", F.lit(True)))
-    # inner balls, deepest level first: weighted mean of the children, radius over the children's balls
-    level = F.floor(F.log2(F.col("_node"))).cast("int")
-    top = nodes.agg(F.max(level)).first()[0]
-    for lv in range(top, 0, -1):
-        kids = nodes.where(level == lv).withColumn("_up", F.floor(F.col("_node") / 2))
-        mean = kids.groupBy("_up").agg(
-            Summarizer.mean(array_to_vector("_c"), F.col("_n").cast("double")).alias("_mean"), F.sum("_n").alias("_n")
-        )
-        mean = mean.select(F.col("_up").alias("_node"), vector_to_array("_mean").alias("_c"), "_n")
-        spread = kids.join(mean.select(F.col("_node").alias("_up"), F.col("_c").alias("_pc")), "_up")
-        spread = spread.groupBy("_up").agg(F.max(_dist("_c", "_pc") + F.col("_r")).alias("_r"))
-        inner = mean.join(spread.withColumnRenamed("_up", "_node"), "_node").withColumn("_leaf", F.lit(False))
-        nodes = materialize(nodes.unionByName(inner))
+    leaves = materialize(leaves.join(radius, "_node"))
+    # inner balls: weighted mean of the leaves below, radius over their balls
+    level = F.floor(F.log2("_node")).cast("int")
+    below = leaves.withColumn("_k", F.explode(F.when(level > 0, F.sequence(F.lit(1), level)))).withColumn("_up", F.expr("shiftright(_node, _k)"))
+    mean = below.groupBy("_up").agg(Summarizer.mean(array_to_vector("_c"), F.col("_n").cast("double")).alias("_mean"), F.sum("_n").alias("_un"))
+    mean = materialize(mean.select("_up", vector_to_array("_mean").alias("_uc"), "_un"))
+    spread = _attach(below, mean.select("_up", "_uc"), "_up").groupBy("_up").agg(F.max(_dist("_c", "_uc") + F.col("_r")).alias("_ur"))
+    inner = mean.join(spread, "_up").select(F.col("_up").alias("_node"), F.col("_uc").alias("_c"), F.col("_un").alias("_n"), F.col("_ur").alias("_r"))
+    nodes = materialize(leaves.withColumn("_leaf", F.lit(True)).unionByName(inner.withColumn("_leaf", F.lit(False))))
     return pts, nodes
 
 
@@ -149,10 +243,12 @@ def leaf_pairs(nodes: DataFrame, bounds: DataFrame) -> DataFrame:
     between the two balls, ``|c_a - c_n| - r_a - r_n``, is within ``_u``.
     """
     children = nodes.select(F.floor(F.col("_node") / 2).alias("_node"), F.col("_node").alias("_child"), F.col("_c").alias("_cc"), F.col("_r").alias("_rc"), "_leaf")
+    children = materialize(children)
+    few = children.count() <= BROADCAST_NODES
     frontier = bounds.select("_a", "_ca", "_ra", "_u", F.lit(1).cast("long").alias("_node"))
     found = []
     while True:
-        step = _attach(frontier, children, "_node")
+        step = frontier.join(F.broadcast(children) if few else children, "_node")
         gap = _dist("_ca", "_cc") - F.col("_ra") - F.col("_rc")
         step = materialize(step.where(gap <= F.col("_u") * (1 + SLACK) + SLACK))
         found.append(step.where("_leaf").select("_a", F.col("_child").alias("_b")))
@@ -166,24 +262,35 @@ def leaf_pairs(nodes: DataFrame, bounds: DataFrame) -> DataFrame:
     return pairs.where(F.col("_a") != F.col("_b"))
 
 
-def nearest_neighbors(points: DataFrame, block_rows: int = BLOCK_ROWS, visitor_rows: int = VISITOR_ROWS, report: dict | None = None) -> DataFrame:
+def bundles(nodes: DataFrame, rows: int) -> DataFrame:
+    """``(_node, _bundle)``: each leaf with its highest ancestor (or itself) of at most ``rows`` points."""
+    level = F.floor(F.log2("_node")).cast("int")
+    up = F.explode(F.sequence(F.lit(0), level))
+    above = nodes.where("_leaf").select("_node", up.alias("_k")).withColumn("_up", F.expr("shiftright(_node, _k)"))
+    small = nodes.where((F.col("_n") <= rows) | F.col("_leaf")).select(F.col("_node").alias("_up"))
+    return above.join(small, "_up").groupBy("_node").agg(F.max_by("_up", "_k").alias("_bundle"))
+
+
+def nearest_neighbors(
+    points: DataFrame, block_rows: int = BLOCK_ROWS, visitor_rows: int = VISITOR_ROWS, report: dict | None = None, bundle_rows: int | None = None
+) -> DataFrame:
     """Nearest other row of each row of ``(_id long, _x array<double>)``, exact, over a ball tree.
 
     The vectors must be distinct. Result: ``_id, _d`` (squared distance) and ``_nn``, the id
     of the neighbour (ties to the lower id); a single row has no neighbour. Each leaf of at
-    most ``block_rows`` points searches itself first; its points then visit only the leaves
-    that the triangle inequality cannot rule out, first for the leaf as a whole, then for
-    each point. A leaf with many visitors is copied to several tasks, so a task never holds
-    more than one leaf and ``visitor_rows`` visitors. ``report``, if given, receives the
-    number of leaves and of leaf pairs visited.
+    most ``block_rows`` points searches itself first. Leaves are bundled by subtree into at
+    most ``bundle_rows`` points (default: a sixteenth of all, within bounds); bundles with
+    leaves that the triangle inequality cannot rule out for each other meet in one task,
+    where batches of at most ``visitor_rows`` points visit only the leaves within their
+    own bounds. ``report``, if given, receives the number of leaves and of leaf pairs.
     """
-    pts, nodes = build_tree(points, block_rows)
+    points = materialize(points)
+    if bundle_rows is None:
+        low, high = BUNDLE_ROWS
+        bundle_rows = max(low, min(high, points.count() // BUNDLE_SHARE))
+    pts, nodes = build_tree(points, block_rows, bundle_rows)
     blocked = pts.select("_id", "_x", F.col("_node").alias("_b"))
-    own = materialize(
-        blocked.select("_b", "_id", "_x", F.explode(F.array(F.lit(False), F.lit(True))).alias("visitor"))
-        .groupBy("_b")
-        .applyInPandas(_block_search, _FOUND)
-    )
+    own = materialize(blocked.groupBy("_b").applyInArrow(_leaf_search, _FOUND))
     balls = nodes.select("_node", "_c", "_r")
     # a leaf's bound: its points' largest first distance, or the farthest reach of its sibling's ball
     within = blocked.join(own.select("_id", "_d"), "_id").groupBy("_b").agg(F.max(F.sqrt("_d")).alias("_own"))
@@ -196,20 +303,16 @@ def nearest_neighbors(points: DataFrame, block_rows: int = BLOCK_ROWS, visitor_r
     if report is not None:
         report["leaves"] = bounds.count()
         report["pairs"] = pairs.count()
-    # per point: visit a leaf only if its ball is within the point's first distance
-    seek = blocked.join(own.select("_id", "_d"), "_id").withColumnRenamed("_b", "_a")
-    visits = _attach(seek, pairs, "_a").join(balls.withColumnRenamed("_node", "_b"), "_b")
-    near = _dist("_x", "_c") - F.col("_r") <= F.sqrt("_d") * (1 + SLACK) + SLACK
-    visits = visits.where(near).select("_id", "_x", "_b")
-    loads = visits.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(visitor_rows))).cast("int").alias("_copies"))
-    loads = materialize(loads)
-    batches = visits.join(loads, "_b").select(
-        "_b", F.pmod(F.xxhash64("_id"), F.col("_copies")).cast("int").alias("_batch"), "_id", "_x", F.lit(True).alias("visitor")
-    )
-    hosts = blocked.join(loads, "_b").select(
-        "_b", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_batch"), "_id", "_x", F.lit(False).alias("visitor")
-    )
-    away = batches.unionByName(hosts).groupBy("_b", "_batch").applyInPandas(_block_search, _FOUND)
+    named = materialize(bundles(nodes, bundle_rows))
+    of = {c: named.select(F.col("_node").alias(c), F.col("_bundle").alias(f"{c}b")) for c in ("_a", "_b")}
+    met = pairs.join(of["_a"], "_a").join(of["_b"], "_b").select(F.least("_ab", "_bb").alias("_one"), F.greatest("_ab", "_bb").alias("_two"))
+    met = materialize(met.distinct())
+    sides = met.select("_one", "_two", F.explode(F.array_distinct(F.array("_one", "_two"))).alias("_bundle"))
+    placed = _attach(pts.join(own.select("_id", "_d"), "_id"), named, "_node")
+    groups = _attach(placed, sides, "_bundle").select("_one", "_two", "_bundle", "_node", "_id", "_x", "_d")
+    # a group is much work in few bytes: as many tasks as groups, within a bound
+    groups = groups.repartition(max(1, min(MAX_TASKS, met.count())), "_one", "_two")
+    away = groups.groupBy("_one", "_two").applyInArrow(lambda group: _bundle_search(visitor_rows, group), _FOUND)
     best = F.min(F.struct("_d", "_nn"))
     return (
         own.unionByName(away).where(F.col("_nn") >= 0).groupBy("_id").agg(best.alias("m"))

@@ -9,7 +9,7 @@ from fieldseries.operators.forecast import ar_forecast
 from fieldseries.operators.metrics import ranking_metrics, roc_points
 from fieldseries.operators.ranked import exact_quantiles
 from fieldseries.operators.thresholds import search_rain_threshold, search_threshold
-from fieldseries.operators.tomek import nearest_neighbors, remove_tomek_links, tomek_links
+from fieldseries.operators.tomek import build_tree, nearest_neighbors, remove_tomek_links, tomek_links
 
 
 @pytest.fixture(scope="module")
@@ -126,6 +126,27 @@ def test_ball_tree_prunes_clustered_data(spark):
     assert report["leaves"] >= 24 and share < 0.5, report
 
 
+def test_ball_tree_of_outliers_stays_shallow(spark):
+    """Each row is far beyond the next: splits at the nearer pivot take one row at a time."""
+    x = np.concatenate([[[3.0**k, 0.0] for k in range(150)], [[0.0, float(k % 7)] for k in range(1, 8)]])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "_id long, _x array<double>")
+    for leaf_rows, task_rows in ((2, 1000), (40, 1)):
+        pts, nodes = build_tree(df, leaf_rows, task_rows)
+        sizes = [r["count"] for r in pts.groupBy("_node").count().collect()]
+        assert sum(sizes) == len(x) and max(sizes) <= leaf_rows and max(r._node for r in pts.collect()) < 2**24
+        assert nodes.where("_node = 1").first()._n == len(x)
+
+
+def test_rows_travel_once_for_each_bundle(spark):
+    """Small bundles meet in pairs, each visits the other: exact, with ties on a grid."""
+    x = np.array([[float(a), float(b), float(a * b % 5)] for a in range(12) for b in range(12)])
+    ids = np.random.default_rng(2).permutation(len(x))
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x)], "_id long, _x array<double>")
+    expected = dict(zip(ids.tolist(), _brute_neighbors(ids, x).tolist()))
+    for rows in (40, None):
+        assert {r._id: r._nn for r in nearest_neighbors(df, 5, 7, bundle_rows=rows).collect()} == expected, rows
+
+
 def test_tomek_with_many_copies(spark):
     """A third of the rows are copies of one vector."""
     rng = np.random.default_rng(5)
