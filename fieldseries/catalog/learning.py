@@ -51,7 +51,8 @@ def quality_rows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     text, length = F.col("text"), F.greatest(F.length("text"), F.lit(1))
 
     def share(pattern: str) -> Column:
-        return 1.0 - F.length(F.regexp_replace(text, pattern, "")) / length
+        # whole runs go at once
+        return 1.0 - F.length(F.regexp_replace(text, f"{pattern}+", "")) / length
 
     features = {"size": F.log1p(length), "letters": share(r"\p{L}"), "spaces": share(r"\s"), "capitals": share(r"\p{Lu}"), "marks": share(r"[#$%&*!|]")}
     documents = table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in features.items()])
