@@ -1,4 +1,4 @@
-"""How long shuffle files live."""
+"""Settings that hold while an operator runs: how long shuffle files live, how much a task reads at once."""
 
 from __future__ import annotations
 
@@ -19,3 +19,20 @@ def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+#: For rows of about a megabyte: few of them at once, in the table reader and on the way to Python.
+_LARGE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "16", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def large_rows(spark: SparkSession) -> Iterator[None]:
+    """Within it, tasks hold only a few rows at once."""
+    before = {k: spark.conf.get(k, None) for k in _LARGE_ROWS}
+    for k, v in _LARGE_ROWS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
