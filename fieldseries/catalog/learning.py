@@ -24,7 +24,7 @@ TOMEK_SQL = """with p as (select vec_id, label % 2 as y, embedding::double[] as
 
 def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 2).cast("int").alias("y")
+        "vec_id", F.col("embedding").alias("x"), (F.col("label") % 2).cast("int").alias("y")
     )
 
 

@@ -7,19 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within it, a query's shuffle files go when it ends: its result is a written table that needs them no more."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
+from fieldseries.operators.materialize import short_lived_shuffles as short_lived_shuffles
 
 #: For rows of about a megabyte: few of them at once, in the table reader and on the way to Python.
 _LARGE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "16", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldseries.operators import tomek
 from fieldseries.operators.forecast import ar_forecast
+from fieldseries.operators.materialize import materialize
 from fieldseries.operators.metrics import ranking_metrics, roc_points
 from fieldseries.operators.ranked import exact_quantiles
 from fieldseries.operators.thresholds import search_rain_threshold, search_threshold
@@ -189,3 +190,34 @@ def test_autoregression_matches_least_squares(spark):
     assert [got[1, t] for t in range(40, 60)] == pytest.approx(np.clip(values[40:], 0, 1).tolist(), abs=1e-9)
     # a constant short series has no fit: the training mean answers
     assert [got[2, t] for t in range(5, 8)] == [0.0, 0.0, 0.0]
+
+
+def test_pairs_of_leaves_are_not_written(spark, monkeypatch):
+    """No pruning in 12 dimensions: nearly all pairs of 250 leaves meet, and tables stay in proportion to the rows."""
+    written = []
+    monkeypatch.setattr(tomek, "materialize", lambda df: written.append(out := materialize(df)) or out)
+    sizes = {}
+    monkeypatch.setattr(tomek, "discard", lambda *old: sizes.update({id(x): x.count() for x in old}))
+    rows = np.random.default_rng(6).normal(size=(2000, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(rows.tolist())], "_id long, _x array<float>")
+    report = {}
+    got = {r._id: r._nn for r in nearest_neighbors(df, 8, 64, report=report, bundle_rows=600).collect()}
+    assert got == dict(enumerate(_brute_neighbors(np.arange(2000), rows.astype(float)).tolist()))
+    assert report["leaves"] > 200 and report["pairs"] > 20_000, report
+    sizes.update({id(x): x.count() for x in written})
+    assert max(sizes.values()) <= 4000, sorted(sizes.values())[-5:]
+
+
+def test_bundles_meet_in_rounds(spark, monkeypatch):
+    """Each pair of bundles meets in one of many rounds, and a round ships a bounded share of the rows."""
+    monkeypatch.setattr(tomek, "ROUND_COPIES", 1)
+    monkeypatch.setattr(tomek, "ROUND_ROWS", 1)
+    shipped, sides = [], tomek._sides
+    monkeypatch.setattr(tomek, "_sides", lambda met: shipped.append(met) or sides(met))
+    x = np.random.default_rng(7).normal(size=(900, 8))
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "_id long, _x array<double>")
+    got = {r._id: r._nn for r in nearest_neighbors(df, 30, 50, bundle_rows=200).collect()}
+    assert got == dict(enumerate(_brute_neighbors(np.arange(900), x).tolist()))
+    every, *rounds = [{(r._one, r._two) for r in met.select("_one", "_two").collect()} for met in shipped[1:]]
+    assert len(rounds) >= 3 and sum(map(len, rounds)) == len(every) and set().union(*rounds) == every
+    assert max(map(len, rounds)) <= len(every) / 2
