@@ -6,20 +6,23 @@ id: if the longest previous factor at that start, among smaller documents, reach
 anchors, which equal strings have at equal places, and brought next to those that agree
 in the anchor and its surroundings; the previous smaller document in that order gives
 the earlier match. Where surroundings differ, the strings over the anchor are ordered
-themselves.
+themselves. Anchors and strings are dealt out in passes by their hash; what a pass
+shuffles goes when it ends. Joins leave the text in place or stream it past a table of
+lists or ids: it is never sorted.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldseries.operators.materialize import materialize
+from fieldseries.operators.materialize import discard, materialize
 
 from .lifetime import short_lived_shuffles
 from .textvec import mix, slices, span_hash, span_sums, text_bytes
@@ -32,6 +35,10 @@ _HALF = _REACH // 2
 LEFT, RIGHT = 1, 2
 #: Bytes of text, and anchors, that a task holds as number arrays at once.
 _SLICE, _FLUSH = 500_000, 250_000
+#: Passes over the anchors, and over the strings.
+TURNS = 2
+#: Ids of equal texts up to this many are broadcast (about 25 MB); more are joined.
+BROADCAST_COPIES = 300_000
 
 
 def _sliding(values: np.ndarray, width: int, choose) -> np.ndarray:
@@ -61,8 +68,8 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> tuple[np.n
     return chosen, hashes[chosen]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors with a hash of their surroundings; ``full`` where a smaller document of this task has the same."""
+def _anchor_rows(batches: Iterator[pa.RecordBatch], turn: int = 0, turns: int = 1) -> Iterator[pa.RecordBatch]:
+    """Anchors of a turn, by their hash, with a hash of their surroundings; ``full`` where a smaller document of this task has the same."""
     held: list[list[np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
@@ -83,6 +90,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, bounds = text_bytes(batch.column("text"))
         sums = span_sums(raw.astype(np.uint64) + np.uint64(1))
         at, h = anchors(raw, bounds, sums)
+        # the lower bits: anchors are those of least hash
+        mine = (h & np.uint64(0xFFFFFFFF)) % np.uint64(turns) == turn
+        at, h = at[mine], h[mine]
         k = np.searchsorted(bounds, at, side="right") - 1
         left, right = np.maximum(at - _REACH, bounds[k]), np.minimum(at + LENGTH, bounds[k + 1])
         # all of c is kept, for it settles anchors unseen; half of h is enough to bring them together.
@@ -242,11 +252,20 @@ def _removal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc"), *out, pa.array(columns["kept_sha256"]), pa.array(columns["kept"], pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _settled(by_doc: DataFrame, strings: DataFrame) -> DataFrame:
-    """Settled anchors and copied strings of each document: the least document of equal strings keeps them."""
-    least = strings.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "least")
-    copied = strings.join(least, "w").where("doc > least").groupBy("doc", "row").agg(F.collect_list("start").alias("found"))
-    return by_doc.select("doc", "row", "full").where(F.size("full") > 0).join(copied, ["doc", "row"], "full_outer")
+def _copied(strings: DataFrame) -> DataFrame:
+    """Strings that a smaller document has too: the least document of equal strings keeps them."""
+    parts = []
+    for turn in range(TURNS):
+        some = strings.where(F.pmod("w", F.lit(TURNS)) == turn)
+        least = some.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "least")
+        parts.append(materialize(some.join(least, "w").where("doc > least").select("doc", "row", "start")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _settled(by_doc: DataFrame, copied: DataFrame) -> DataFrame:
+    """Settled anchors and copied strings of each document."""
+    found = copied.groupBy("doc", "row").agg(F.collect_list("start").alias("found"))
+    return by_doc.select("doc", "row", "full").where(F.size("full") > 0).join(found, ["doc", "row"], "full_outer")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,21 +285,29 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = rows.groupBy("t1", "t2").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1").select("t1", "t2", "first")
     later = rows.select("doc", "t1", "t2").join(first, ["t1", "t2"]).where("doc > first").select("doc", "t1").distinct()
     later = materialize(later.withColumn("copy", F.lit(True)))
-    rows = rows.join(later, ["doc", "t1"], "left").select("doc", "text", F.pmod("t1", F.lit(1 << 31)).cast("int").alias("row"), F.coalesce("copy", F.lit(False)).alias("copy"))
+    later = F.broadcast(later) if later.count() <= BROADCAST_COPIES else later.hint("shuffle_hash")
+    row = F.pmod("t1", F.lit(1 << 31)).cast("int").alias("row")
+    texts = rows.select("doc", row, "text")
+    rows = rows.join(later, ["doc", "t1"], "left").select("doc", "text", row, F.coalesce("copy", F.lit(False)).alias("copy"))
     searched = rows.where(~F.col("copy")).select("doc", "row", "text")
 
-    found = searched.mapInArrow(_anchor_rows, "h int, c long, sides int, doc long, row int, pos int, full boolean")
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = found.repartition(ranges, "h").sortWithinPartitions("h", "c", "doc")
     with short_lived_shuffles(spark):
-        marks = materialize(ordered.mapInArrow(_classes, "doc long, row int, pos int, side int"))
+        marks = []
+        for turn in range(TURNS):
+            found = searched.mapInArrow(partial(_anchor_rows, turn=turn, turns=TURNS), "h int, c long, sides int, doc long, row int, pos int, full boolean")
+            ordered = found.repartition(ranges, "h").sortWithinPartitions("h", "c", "doc")
+            marks.append(materialize(ordered.mapInArrow(_classes, "doc long, row int, pos int, side int")))
         side = F.col("side")
-        by_doc = marks.groupBy("doc", "row").agg(
+        by_doc = reduce(DataFrame.unionByName, marks).groupBy("doc", "row").agg(
             F.collect_list(F.when(side == 0, F.col("pos"))).alias("full"),
             *[F.collect_list(F.when(side.bitwiseAND(k) > 0, F.col("pos"))).alias(f"open_{k}") for k in (LEFT, RIGHT)],
         )
         unsettled = by_doc.where((F.size(f"open_{LEFT}") > 0) | (F.size(f"open_{RIGHT}") > 0))
-        strings = materialize(searched.join(unsettled, ["doc", "row"]).mapInArrow(_string_rows, "w long, doc long, row int, start int"))
-        settled = materialize(_settled(by_doc, strings))
+        # only what was searched has marks
+        strings = materialize(texts.join(unsettled.hint("shuffle_hash"), ["doc", "row"]).mapInArrow(_string_rows, "w long, doc long, row int, start int"))
+        copied = _copied(strings)
+        discard(strings)
+        settled = materialize(_settled(by_doc, copied)).hint("shuffle_hash")
     out = rows.join(settled, ["doc", "row"], "left").select("doc", "text", "copy", "full", "found").mapInArrow(_removal_rows, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.nullif(F.col("doc"), F.lit(lowest)).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -136,6 +136,45 @@ def test_substring_dedup_equals_brute_force(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute_removal(rows)
 
 
+def _text_with_copies(rng, n):
+    pieces = ["".join(rng.choice("ab cdé") for _ in range(rng.randint(40, 120))) for _ in range(8)]
+    rows = [(i, "".join(rng.choice(pieces)[rng.randint(0, 30) :] for _ in range(rng.randint(0, 4)))) for i in range(n)]
+    return rows + [(n + i, t) for i, t in rows[::3]]
+
+
+def test_substring_dedup_of_many_copies_never_sorts_the_text(spark, monkeypatch):
+    """Ids of copies and lists too large to broadcast: results stay, and the text streams past tables of ids and lists."""
+    rows, plans = _text_with_copies(random.Random(7), 60), []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    materialize = substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df: plans.append(plan(df)) or materialize(df))
+    monkeypatch.setattr(substring_dedup, "BROADCAST_COPIES", 0, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = substring_dedup.drop_repeats(table(spark, rows))
+        plans.append(plan(out))
+        found = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute_removal(rows)
+    reading = [p for p in plans if "MapInArrow" in p]
+    assert len(reading) >= 3 and not [p for p in reading if "SortMergeJoin" in p]
+
+
+def test_anchors_are_dealt_out_in_passes():
+    """Each pass has its share of the anchors, all anchors of a hash are in one, and together they are all."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(np.zeros(40, np.int32)), pa.array(texts)], names=["doc", "row", "text"])
+    names = ["h", "c", "sides", "doc", "row", "pos"]
+    read = lambda **of: [tuple(r[c] for c in names) for b in substring_dedup._anchor_rows(iter([batch]), **of) for r in b.to_pylist()]
+    every, parts = sorted(read()), [read(turn=k, turns=substring_dedup.TURNS) for k in range(substring_dedup.TURNS)]
+    assert substring_dedup.TURNS >= 2 and sorted(sum(parts, [])) == every
+    assert max(map(len, parts)) < 0.6 * len(every)
+    assert sum(len({r[0] for r in x}) for x in parts) == len({r[0] for r in every})
+
+
 def test_surroundings_of_one_anchor_are_told_apart():
     """300,000 different surroundings of one anchor make as many classes: 32 bits of hash are too few."""
     rng = np.random.default_rng(2)
